@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import mixing, sharding
+from . import mixing, quality, sharding, simhash
 
 SQL: dict[str, str] = {}
 
@@ -48,6 +48,52 @@ SELECT doc_id, size, source_size, target, copies * size + least(size, greatest(0
 """
 
 
+def op2_quality_rules(spark, sf_dir):
+    judged = quality.judged(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality.MEASURES[:5], "base_failed", "kept")
+
+
+SQL["op2_quality_rules"] = r"""
+WITH split AS (
+  SELECT rowid_ AS r, doc_id, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM (SELECT *, row_number() OVER () AS rowid_ FROM documents)),
+lines AS (
+  SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM split)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line),
+line_sums AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(n - 1) AS BIGINT) AS n_dup_lines FROM lines GROUP BY r),
+windows AS (
+  SELECT r, i, array_to_string(list_slice(words, i, i + 7), ' ') AS w
+  FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM split WHERE len(words) >= 8)),
+twice AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, w) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(0, 8) t(k) GROUP BY r),
+measured AS (
+  SELECT s.r, doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         coalesce(n_lines, 0) AS n_lines
+  FROM split s LEFT JOIN line_sums USING (r) LEFT JOIN repeats USING (r)),
+ruled AS (
+  SELECT *, CAST(n_words < 20 AS INT) AS f1, CAST(100 * n_repeat_words > 30 * n_words AS INT) AS f2,
+         CAST(10 * n_symbols > greatest(n_words, 1) AS INT) AS f3, CAST(10 * n_dup_lines > 3 * n_lines AS INT) AS f4,
+         CAST(n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 12 * n_words) AS INT) AS f5
+  FROM measured),
+hosts AS (SELECT source, rule, count(*) AS n, sum(f) AS fails
+  FROM (SELECT source, unnest([1, 2, 3, 4, 5]) AS rule, unnest([f1, f2, f3, f4, f5]) AS f FROM ruled) GROUP BY source, rule),
+prior AS (SELECT rule, avg(fails / n) AS m, var_pop(fails / n) AS v FROM hosts GROUP BY rule),
+strengths AS (SELECT rule, m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000 END, 1), 1000) AS s FROM prior),
+verdicts AS (
+  SELECT source, bool_or((fails + m * s) / (n + s) > 0.5) AS host_failed FROM hosts JOIN strengths USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f1 + f2 > 0) AS base_failed,
+       (f1 + f2 = 0 AND NOT host_failed) AS kept
+FROM ruled JOIN verdicts ON ruled.source IS NOT DISTINCT FROM verdicts.source
+"""
+
+
+def op3_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_shard_documents(spark, sf_dir):
     return sharding.sharded(table(spark, sf_dir, "documents")).drop("tokens")
 
