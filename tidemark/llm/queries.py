@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import table
-from . import decontaminate, huffman, mixing, quality, sharding, simhash
+from . import decontaminate, huffman, langid, mixing, quality, sharding, simhash, toxicity
+from .common import table, training_row
 
 SQL: dict[str, str] = {}
 
@@ -96,6 +96,20 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.scored(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (~training_row(F.col("doc_id"))).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    filters = langid.trained(docs)
+    found = langid.predicted(docs.select("doc_id", "text"), filters)
+    return found.select("doc_id", (~training_row(F.col("doc_id"))).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op6_shard_documents(spark, sf_dir):
     return sharding.sharded(table(spark, sf_dir, "documents")).drop("tokens")
 
