@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, langid, mixing, quality, sharding, simhash, toxicity
+from . import decontaminate, huffman, langid, mixing, quality, sharding, simhash, suffixdedup, toxicity
 from .common import table, training_row
 
 SQL: dict[str, str] = {}
@@ -147,6 +147,10 @@ FROM split LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return suffixdedup.deduplicated(table(spark, sf_dir, "documents")).drop("spans")
+
+
 #: A parameter: any file of the tokenizers library whose pre-tokenizer cuts at ASCII white space.
 TOKENIZER = "word_bpe_49k.json"
 
