@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, langid, mixing, quality, sharding, simhash, suffixdedup, toxicity
+from . import decontaminate, huffman, langid, mixing, quality, sharding, simhash, suffixdedup, tokencounts, toxicity
 from .common import table, training_row
 
 SQL: dict[str, str] = {}
@@ -147,6 +147,20 @@ FROM split LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
 
+#: A parameter: a tiktoken rank file, read with the pattern of its vocabulary.
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def op8_token_counts(spark, sf_dir):
+    """Counts of all documents before and after redaction: doc_id, n_before, n_tokens, n_edits, n_encoded."""
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    trees = tokencounts.token_trees(table(spark, sf_dir, "documents"), ranks, pattern)
+    found = tokencounts.edited(tokencounts.with_redactions(trees), ranks, pattern)
+    return found.select("doc_id", "n_before", "n_tokens", "n_edits", "n_encoded")
+
+
 def op9_suffix_dedup(spark, sf_dir):
     return suffixdedup.deduplicated(table(spark, sf_dir, "documents")).drop("spans")
 
