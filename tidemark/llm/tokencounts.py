@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from .common import require
 
@@ -288,8 +289,6 @@ def redactions(text: str) -> list[tuple[int, int, str]]:
 
 def with_redactions(trees: DataFrame) -> DataFrame:
     """``trees`` with the edits of ``redactions`` for each text."""
-    from pyspark.sql.types import StructType
-
     trees = trees.drop("edits")
     at = trees.columns.index("text")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
@@ -299,4 +298,4 @@ def with_redactions(trees: DataFrame) -> DataFrame:
             edits = [[{"start": a, "end": b, "text": t} for a, b, t in redactions(x or "")] for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], [*batch.schema.names, "edits"])
 
-    return trees.mapInArrow(run, StructType(list(trees.schema.fields)).add("edits", EDITS))
+    return trees.mapInArrow(run, StructType(list(trees.schema.fields)).add("edits", DataType.fromDDL(EDITS)))
