@@ -38,6 +38,14 @@ def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return tc.segment_hash(tc.prefix_hash(w.data), w.starts, w.ends), w.bounds
 
 
+def block_lists(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, heads, positions) of the words of a block."""
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    heads = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    return codes[heads], np.append(heads, len(codes)).astype(np.int64), order.astype(np.int32)
+
+
 def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a block: doc_ids, bounds (int64 word range of each document), terms
     (sorted uint64 codes), heads (int64 range of each term's list) and positions
@@ -50,10 +58,7 @@ def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             for first, end, data, offsets in tc.chunks(batch.column(1)):
                 codes, bounds = word_codes(data, offsets)
-                order = np.argsort(codes, kind="stable")
-                codes = codes[order]
-                heads = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
-                parts = (bounds.astype(np.int64), codes[heads], np.append(heads, len(codes)).astype(np.int64), order.astype(np.int32))
+                parts = (bounds.astype(np.int64), *block_lists(codes))
                 ids = batch.column(0).slice(first, end - first)
                 lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
                 yield pa.RecordBatch.from_arrays([lists, *[pa.array([x.tobytes()], pa.binary()) for x in parts]], ["doc_ids", "bounds", "terms", "heads", "positions"])
@@ -216,3 +221,36 @@ def merged_spans(found: DataFrame) -> DataFrame:
 
     kind = first.schema["doc_id"].dataType.simpleString()
     return first.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<long>")
+
+
+def without_matches(docs: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs, with all their columns.
+
+    Blocks are indexed and searched where the rows are, so texts do not move. Items of
+    more than MAX_WORDS words are searched in shares, one after the other."""
+    require(docs, text_col)
+    require(items, item_col, text_col)
+    spark = docs.sparkSession
+    tests = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    count = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    passes = max(1, -(-count // (4 * MAX_WORDS)))
+    at = docs.columns.index(text_col)
+
+    def share(part, docs):
+        own = tests.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == part) if passes > 1 else tests
+        phrases = spark.sparkContext.broadcast(Phrases(sorted((r.item, r.text) for r in own.collect()), window))
+
+        def run(batches):
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for first, end, data, offsets in tc.chunks(batch.column(at)):
+                    codes, bounds = word_codes(data, offsets)
+                    _, start = find(phrases.value, bounds, *block_lists(codes))
+                    clean[first + np.searchsorted(bounds, start, "right") - 1] = False
+                yield batch.filter(pa.array(clean))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    for part in range(passes):
+        docs = share(part, docs)
+    return docs

@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
@@ -346,3 +346,18 @@ def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id",
     classes = classes.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
     out = prints.join(classes, F.col("fp") == F.col("f"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the
+    smallest id. Where rows share that id, the one with the least text hash stays; rows
+    without an id stay, as nothing tells them apart."""
+    found = checkpointed(near_duplicates(docs, distance, id_col, text_col, shingle, seed))
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    out = docs.join(kept, F.col(id_col) == F.col("kept_id")).drop("kept_id")
+    if found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count():
+        first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.hash(*docs.columns))
+        out = out.withColumn("kept_row", F.row_number().over(first)).where("kept_row = 1").drop("kept_row")
+    if found.where("doc_id IS NULL").limit(1).count():
+        out = out.unionByName(docs.where(F.col(id_col).isNull()))
+    return out
