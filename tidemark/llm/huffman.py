@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .common import require, shared_folder, shuffle_width
-from .tokens import encoder, texts_of
+from .tokens import encoder
 
 MAX_BITS = 18
 BLOCK_TOKENS = 1 << 20
@@ -82,52 +82,65 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(id, code length) for each value of the next max_bits bits."""
+def decode_table(lengths: np.ndarray, max_bits: int) -> np.ndarray:
+    """32 * id + code length (at most 31 bits, ids below 2 ** 27) for each value of the next max_bits bits."""
     used = np.flatnonzero(lengths)
     order = used[np.lexsort((used, lengths[used]))]
     span = np.left_shift(1, max_bits - lengths[order].astype(np.int64))
-    ids, size = np.zeros(1 << max_bits, np.int64), np.ones(1 << max_bits, np.int64)
-    n = int(span.sum())
-    ids[:n], size[:n] = np.repeat(order, span), np.repeat(lengths[order], span)
-    return ids, size
+    out = np.ones(1 << max_bits, np.uint32)
+    out[: int(span.sum())] = np.repeat((order * 32 + lengths[order]).astype(np.uint32), span)
+    return out
 
 
 def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, bytes]:
-    """(bits, checkpoints) of a block's ids."""
-    n = lengths[ids].astype(np.int64)
-    ends = np.cumsum(n)
-    at = ends - n
-    total = int(ends[-1]) if len(ends) else 0
-    words = np.zeros(-(-total // 64) + 1, np.uint64)
-    if len(ids):
-        code, word, shift = codes[ids], at >> 6, 64 - (at & 63) - n
-        whole = np.left_shift(code, np.maximum(shift, 0).astype(np.uint64)) >> np.maximum(-shift, 0).astype(np.uint64)
+    """(bits, checkpoints) of a block's ids; the work goes in stretches that fit a cache."""
+    step = 32 * CHECKPOINT
+    words = np.zeros(0, np.uint64)
+    pieces, marks, base = [], [], 0
+    for i in range(0, len(ids), step):
+        part = ids[i : i + step]
+        n = lengths[part].astype(np.int64)
+        at = np.cumsum(n)
+        stop = int(at[-1])
+        at -= n
+        marks.append(base + at[::CHECKPOINT])
+        at += base & 63
+        word, shift = at >> 6, 64 - (at & 63) - n
+        words = np.zeros((stop + (base & 63)) // 64 + 2, np.uint64)
+        code = codes[part]
+        whole = (code << np.maximum(shift, 0).astype(np.uint64)) >> np.maximum(-shift, 0).astype(np.uint64)
         head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         words[word[head]] = np.add.reduceat(whole, head)
         over = np.flatnonzero(shift < 0)
-        words[word[over] + 1] |= np.left_shift(code[over], (64 + shift[over]).astype(np.uint64))
-    return words[: -(-total // 64)].astype(">u8").tobytes(), at[::CHECKPOINT].tobytes()
+        words[word[over] + 1] |= code[over] << (64 + shift[over]).astype(np.uint64)
+        if pieces and base & 63:
+            words[0] |= pieces.pop()[0]
+        base += stop
+        full = (stop + ((base - stop) & 63)) // 64
+        pieces += [words[:full], words[full : full + 1]] if base & 63 else [words[:full]]
+    out = np.concatenate([np.zeros(0, np.uint64), *pieces]).astype(">u8").tobytes()
+    return out, np.concatenate([np.zeros(0, np.int64), *marks]).tobytes()
 
 
-def decode_bits(bits: bytes, checkpoints: bytes, n_tokens: int, table: tuple[np.ndarray, np.ndarray], max_bits: int) -> np.ndarray:
+def decode_bits(bits: bytes, checkpoints: bytes, n_tokens: int, table: np.ndarray, max_bits: int) -> np.ndarray:
     at = np.frombuffer(checkpoints, np.int64).copy()
     words = np.concatenate([np.frombuffer(bits, ">u8").astype(np.uint64), np.zeros(CHECKPOINT * max_bits // 64 + 2, np.uint64)])
-    ids, size = table
-    out = np.empty((CHECKPOINT, len(at)), np.int64)
+    out = np.empty((CHECKPOINT, len(at)), np.uint32)
     down = np.uint64(64 - max_bits)
     for k in range(min(CHECKPOINT, n_tokens)):
         word, bit = at >> 6, (at & 63).astype(np.uint64)
         view = (words[word] << bit) | ((words[word + 1] >> np.uint64(1)) >> (np.uint64(63) - bit))
         entry = (view >> down).astype(np.int64)
-        out[k] = ids[entry]
-        at += size[entry]
+        found = table[entry]
+        out[k] = found >> np.uint32(5)
+        at += found & np.uint32(31)
     return out.T.ravel()[:n_tokens]
 
 
 def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of consecutive documents in ascending order of ids: part, start, doc_ids,
-    lengths (int64), n_tokens and ids (little-endian uint32, or uint16 where they fit)."""
+    lengths (int64), n_tokens, ids (little-endian uint32, or uint16 where they fit), and
+    the ids used (uint32) with their counts (uint32)."""
     require(docs, id_col, text_col)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -144,13 +157,16 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
             names = pa.concat_arrays(names)
             lists = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
             n = np.concatenate(each)
-            values = [lists, *[pa.array([v], t) for v, t in ((n.tobytes(), pa.binary()), (int(n.sum()), pa.int64()), (b"".join(flat), pa.binary()))]]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start], pa.int64()), *values], ["part", "start", "doc_ids", "lengths", "n_tokens", "ids"])
+            flat = np.concatenate(flat)
+            counts = np.bincount(flat)
+            used = np.flatnonzero(counts)
+            values = [lists, *[pa.array([v], t) for v, t in ((n.tobytes(), pa.binary()), (int(n.sum()), pa.int64()), (flat.tobytes(), pa.binary()), (used.astype(np.uint32).tobytes(), pa.binary()), (counts[used].astype(np.uint32).tobytes(), pa.binary()))]]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start], pa.int64()), *values], ["part", "start", "doc_ids", "lengths", "n_tokens", "ids", "used", "counts"])
 
         for batch in batches:
-            for first, end, _, _ in tc.chunks(batch.column(1)):
-                ids, each = coder.encode(texts_of(batch.column(1).slice(first, end - first)), end_id)
-                pending.append((batch.column(0).slice(first, end - first), each, ids.astype(width).tobytes()))
+            for first, end, data, offsets in tc.chunks(batch.column(1)):
+                ids, each = coder.encode(data, offsets, end_id)
+                pending.append((batch.column(0).slice(first, end - first), each, ids.astype(width)))
                 held += len(ids)
                 if held >= BLOCK_TOKENS:
                     yield row()
@@ -158,7 +174,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
         if pending:
             yield row()
 
-    return slim.mapInArrow(run, f"part int, start long, doc_ids array<{kind}>, lengths binary, n_tokens long, ids binary")
+    return slim.mapInArrow(run, f"part int, start long, doc_ids array<{kind}>, lengths binary, n_tokens long, ids binary, used binary, counts binary")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> None:
@@ -175,15 +191,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
     def count(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for raw, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.bincount(np.frombuffer(raw, width(len(raw), n)))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
+            for used, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                used, n = np.frombuffer(used, np.uint32), np.frombuffer(n, np.uint32)
+                if len(used) and used[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(int(used[-1]) + 1 - len(total), np.int64)])
+                total[used] += n
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
-    counted = blocks.select("ids", "n_tokens").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = blocks.select("used", "counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in counted), default=0) + 1, np.int64)  # at most one row an id of the vocabulary
     for r in counted:
         counts[r.id] = r.n
@@ -196,7 +212,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
         for batch in batches:
             for i in range(batch.num_rows):
                 raw, n = batch.column(5)[i].as_py(), batch.column(4)[i].as_py()
-                bits, marks = encode_bits(np.frombuffer(raw, width(len(raw), n)).astype(np.int64), lengths, codes)
+                bits, marks = encode_bits(np.frombuffer(raw, width(len(raw), n)), lengths, codes)
                 one = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*one.columns[:5], pa.array([bits], pa.binary()), pa.array([marks], pa.binary())], ["part", "start", "doc_ids", "lengths", "n_tokens", "bits", "checkpoints"])
 

@@ -7,24 +7,75 @@ be encoded once while the cache holds it.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
+from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 
-MAX_CACHED_WORDS = 600_000
-
-
-class _Places(dict):
-    """Word -> place in the table; unknown words are put down in ``new``."""
-
-    def __init__(self):
-        self.new = []
-
-    def __missing__(self, word):
-        self[word] = place = len(self)
-        self.new.append(word)
-        return place
+from . import textcore as tc
+
+#: Beyond these the caches shed what they have met only once.
+MAX_CACHED_WORDS = 300_000
+MAX_CACHED_PIECES = 200_000
+
+#: Below this code point a file's pattern is run as explicit classes; no letter there
+#: changes under NFC, and lower-casing is by character.
+PLAIN = 0x250
+#: The one pattern known here; a fixed value of the file's format.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class HashTable:
+    """Open addressing from non-zero 64-bit hashes to places 0, 1, 2 ..., all in arrays."""
+
+    def __init__(self, bits: int = 14):
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+        self.mask, self.size = np.uint64((1 << bits) - 1), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where unknown."""
+        out = np.full(len(h), -1, np.int64)
+        todo, slot = np.arange(len(h)), (h & self.mask).astype(np.int64)
+        while len(todo):
+            key = self.keys[slot]
+            hit = key == h[todo]
+            out[todo[hit]] = self.values[slot[hit]]
+            on = ~hit & (key != 0)
+            todo, slot = todo[on], (slot[on] + 1) & int(self.mask)
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Put down distinct unknown hashes at the next places."""
+        if 2 * (self.size + len(h)) > len(self.keys):
+            old = np.zeros(self.size, np.uint64)
+            used = self.keys != 0
+            old[self.values[used]] = self.keys[used]
+            self.__init__(int(4 * (self.size + len(h))).bit_length())
+            self.add(old)
+        todo, place, slot = h, self.size + np.arange(len(h)), (h & self.mask).astype(np.int64)
+        self.size += len(h)
+        while len(todo):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = todo[free]
+            mine = self.keys[slot] == todo
+            self.values[slot[mine]] = place[mine]
+            todo, place, slot = todo[~mine], place[~mine], (slot[~mine] + 1) & int(self.mask)
+
+    def hashes(self) -> np.ndarray:
+        out, used = np.zeros(self.size, np.uint64), self.keys != 0
+        out[self.values[used]] = self.keys[used]
+        return out
+
+
+def byte_symbols() -> dict[int, str]:
+    """The printable symbol that byte-level models have for each byte: itself where it is
+    printable in Latin-1, else the next free code point from 256 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordEncoder:
@@ -33,51 +84,123 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
+        with open(path, encoding="utf-8") as f:
+            self.pattern = self._plain_pattern(json.load(f))
+        self.symbols = str.maketrans({chr(b): c for b, c in byte_symbols().items()})
+        self.pieces: dict[str, list[int]] = {}
         self.clear()
 
+    @staticmethod
+    def _plain_pattern(file: dict):
+        """The pattern that cuts words into pieces, where the file's steps are the ones
+        known here (lower case, a kept pattern, byte symbols); else None."""
+        steps = (file.get("normalizer") or {}).get("normalizers", [])
+        cuts = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        known = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        if not known or not (cuts[0]["invert"] and cuts[0]["behavior"] == "Removed") or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"]:
+            return None
+        if cuts[0]["pattern"].get("Regex") != PIECES:
+            return None
+        plain = [chr(c) for c in range(PLAIN)]
+        letters, numbers = ("".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == kind) for kind in "LN")
+        spaces = "".join(re.escape(c) for c in plain if c.isspace() and not "\x1c" <= c <= "\x1f")
+        return re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{letters}{numbers}{spaces}]+")
+
+    def _piece(self, piece: str) -> list[int]:
+        symbols = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.symbols)
+        ids = self.pieces[piece] = [t.id for t in self.model.tokenize(symbols)]
+        return ids
+
+    def _ids_of(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each of the words, which hold no ASCII white space."""
+        if self.pattern is None:
+            return [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
+        known, out = self.pieces.get, []
+        for i, low in enumerate(b"\n".join(words).decode().lower().split("\n")):
+            ids = known(low)  # a piece that stands alone is cut as itself
+            if ids is None:
+                if not (low.isascii() or ord(max(low)) < PLAIN) or "<|" in low:
+                    ids = self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids
+                elif low.isalpha():
+                    ids = self._piece(low)
+                else:
+                    ids = []
+                    for piece in self.pattern.findall(low):
+                        ids += known(piece) or self._piece(piece)
+            out.append(ids)
+        return out
+
     def clear(self):
-        self.places = _Places()
-        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.flat, self.used = np.zeros(1 << 14, np.int64), 0
-
-    def _learn(self):
-        words, self.places.new = self.places.new, []
-        if not words:
-            return
-        first = len(self.places) - len(words)
-        for i in range(0, len(words), 4096):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[i : i + 4096]], add_special_tokens=False)]
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            total = int(n.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while first + len(n) > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-            self.flat[self.used : self.used + total] = np.fromiter((x for ids in found for x in ids), np.int64, total)
-            self.start[first : first + len(n)] = self.used + np.cumsum(n) - n
-            self.length[first : first + len(n)] = n
-            self.used += total
-            first += len(n)
-
-    def encode(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in one array, number of ids of each)."""
-        if len(self.places) > MAX_CACHED_WORDS:
-            self.clear()
-        words = [t.split() for t in texts]
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        place = np.fromiter((p for ws in words for p in map(self.places.__getitem__, ws)), np.int64, int(counts.sum()))
-        self._learn()
+        self.places = HashTable()
+        self.start, self.length, self.met = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.flat, self.used = np.zeros(1 << 14, np.int32), 0
+
+    def _shed(self):
+        """Keep the words met more than once, at most half of what fits."""
+        n = self.places.size
+        often = np.flatnonzero(self.met[:n] > 1)
+        if len(often) > MAX_CACHED_WORDS // 2:
+            often = np.sort(often[np.argsort(-self.met[often], kind="stable")[: MAX_CACHED_WORDS // 2]])
+        hashes, start, length, flat = self.places.hashes()[often], self.start[often], self.length[often], self.flat
+        self.clear()
+        ends = np.cumsum(length)
+        ids = flat[np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self._put(hashes, ids, length)
+        self.met[: len(often)] = 1
+
+    def _put(self, hashes: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        first, total = self.places.size, len(ids)
+        self.places.add(hashes)
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + total, np.int32)])
+        if first + len(n) > len(self.start):
+            self.start, self.length, self.met = (np.concatenate([x, np.zeros(len(x) + len(n), np.int64)]) for x in (self.start, self.length, self.met))
+        self.flat[self.used : self.used + total] = ids
+        self.start[first : first + len(n)] = self.used + np.cumsum(n) - n
+        self.length[first : first + len(n)] = n
+        self.used += total
+
+    def _learn(self, words: tc.Words, h: np.ndarray) -> None:
+        """Encode the words of a chunk whose hashes are unknown."""
+        new, at = np.unique(h, return_index=True)
+        if len(self.pieces) > MAX_CACHED_PIECES:
+            self.pieces.clear()
+        raw = words.data.tobytes()
+        found = self._ids_of([raw[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())])
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        self._put(new, np.fromiter(chain.from_iterable(found), np.int32, int(n.sum())), n)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a chunk in one array, number of ids of each)."""
+        if self.places.size > MAX_CACHED_WORDS:
+            self._shed()
+        words = tc.Words(data, offsets, tc.SPACE_WORD)
+        h = tc.segment_hash(tc.prefix_hash(data), words.starts, words.ends) | np.uint64(1)
+        place = self.places.find(h)
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            part = tc.Words.__new__(tc.Words)
+            part.data, part.starts, part.ends = data, words.starts[unknown], words.ends[unknown]
+            self._learn(part, h[unknown])
+            place[unknown] = self.places.find(h[unknown])
+        if self.places.size:
+            self.met[: self.places.size] += np.bincount(place, minlength=self.places.size)
         n = self.length[place]
         extra = 0 if end_id is None else 1
-        upto = np.concatenate([[0], np.cumsum(n)])
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        each = upto[bounds[1:]] - upto[bounds[:-1]] + extra
-        shift = np.repeat(np.arange(len(texts)) * extra, counts)  # end ids of the texts before
-        out = np.full(int(upto[-1]) + extra * len(texts), 0 if end_id is None else end_id, np.int64)
-        run = np.arange(int(upto[-1]))
-        source = np.repeat(self.start[place] - upto[:-1], n) + run
-        out[run + np.repeat(shift, n)] = self.flat[source]
+        upto = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=upto[1:])
+        each = upto[words.bounds[1:]] - upto[words.bounds[:-1]] + extra
+        total = int(upto[-1])
+        # Where each id goes: its own number, and the end ids of the texts before.
+        source = np.repeat(self.start[place] - upto[:-1], n)
+        source += np.arange(total)
+        out = np.full(total + extra * len(each), 0 if end_id is None else end_id, np.int32)
+        keep = np.ones(len(out), bool)
+        if extra:
+            keep[np.cumsum(each) - 1] = False
+        out[keep] = self.flat[source]
         return out, each
 
 
@@ -89,7 +212,3 @@ def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
-
-
-def texts_of(column: pa.Array) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
