@@ -246,7 +246,8 @@ class Transaction:
             return made
         return (made.set(values).where(where) if where is not None else made.set(values)).exec()
 
-    def delete(self, table: str, where: Expr | None = None):
+    def delete(self, table: str, where: Expr | None = None) -> int:
+        """Delete the rows that satisfy the condition, or all."""
         self._open()
         made = Delete(self, table)
         return (made.where(where) if where is not None else made).exec()
