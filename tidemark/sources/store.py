@@ -17,9 +17,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:
-    """A reliable checkpoint: it survives lost executors and cuts the lineage."""
-    shared_folder(rows.sparkSession)
-    return rows.checkpoint(eager=True)
+    """A reliable checkpoint: it survives lost executors and cuts the lineage.
+
+    It is planned without constraint propagation: a checkpoint keeps the constraints of
+    its plan, and those on columns that were renamed since break later unions."""
+    spark = rows.sparkSession
+    shared_folder(spark)
+    option = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(option)
+    spark.conf.set(option, "false")
+    try:
+        return rows.checkpoint(eager=True)
+    finally:
+        spark.conf.set(option, before)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -107,6 +107,8 @@ class DeltaQuery(LiveQuery):
         if change is None:
             return
         change = checkpointed(zset.consolidate(change))
+        if change.isEmpty():
+            return
         self.view = checkpointed(zset.consolidate(self.view.union(change)))
         if self.callbacks:
             added = _dicts(zset.rows(change.where("_d > 0")))
@@ -151,6 +153,6 @@ class LiveRegistry:
             z = parts[0]
             for p in parts[1:]:
                 z = z.unionByName(p)
-            deltas[table] = zset.consolidate(z)
+            deltas[table] = checkpointed(zset.consolidate(z))
         for query in sorted(wanted, key=lambda q: isinstance(q, SnapshotQuery)):
             query.changed(before, after, deltas)
