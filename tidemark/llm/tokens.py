@@ -19,7 +19,7 @@ from . import textcore as tc
 
 #: Beyond these the caches shed what they have met only once.
 MAX_CACHED_WORDS = 300_000
-MAX_CACHED_PIECES = 200_000
+MAX_CACHED_PIECES = 150_000
 
 #: Below this code point a file's pattern is run as explicit classes; no letter there
 #: changes under NFC, and lower-casing is by character.
@@ -89,7 +89,7 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             self.pattern = self._plain_pattern(json.load(f))
         self.symbols = str.maketrans({chr(b): c for b, c in byte_symbols().items()})
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}  # tuples of integers leave the garbage collector's sight
         self.clear()
 
     @staticmethod
@@ -108,12 +108,12 @@ class WordEncoder:
         spaces = "".join(re.escape(c) for c in plain if c.isspace() and not "\x1c" <= c <= "\x1f")
         return re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{letters}{numbers}{spaces}]+")
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> tuple[int, ...]:
         symbols = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.symbols)
-        ids = self.pieces[piece] = [t.id for t in self.model.tokenize(symbols)]
+        ids = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(symbols)])
         return ids
 
-    def _ids_of(self, words: list[bytes]) -> list[list[int]]:
+    def _ids_of(self, words: list[bytes]) -> list:
         """Ids of each of the words, which hold no ASCII white space."""
         if self.pattern is None:
             return [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
@@ -126,7 +126,7 @@ class WordEncoder:
                 elif low.isalpha():
                     ids = self._piece(low)
                 else:
-                    ids = []
+                    ids = ()
                     for piece in self.pattern.findall(low):
                         ids += known(piece) or self._piece(piece)
             out.append(ids)
