@@ -27,6 +27,7 @@ PLANS = {
     "theta_left": lambda d: d.select("l.id", "r.id").from_("l").left_join("r", col("l.v").lt(col("r.v"))),
     "cross": lambda d: d.select("l.id", "r.id").from_("l").cross_join("r"),
     "aggregate": lambda d: d.select("*").from_("l").group_by("k").count().count_col("v").sum("v").min("v").max("v").distinct("v"),
+    "linear": lambda d: d.select("*").from_("l").group_by("k").count().count_col("v").sum("v").avg("v"),
     "global": lambda d: d.select("*").from_("l").count().sum("v").max("v"),
     "join_aggregate": lambda d: d.select("*").from_("l").left_join("r", col("l.k").eq(col("r.k"))).group_by("l.k").count_col("r.v").sum("r.v"),
     "union": lambda d: d.select("k").from_("l").union(d.select("k").from_("r")),
@@ -105,6 +106,18 @@ def test_transactions_tell_once(spark):
     assert len(told) == 1 and len(view) == 2
 
 
+def test_batches_tell_once(spark):
+    db = shop(spark)
+    view, told = db.select("*").from_("orders").group_by("customer_id").sum("amount").trace(), []
+    view.subscribe(told.append)
+    with db.batched():
+        db.insert("orders").values([{"id": 60, "customer_id": 2, "amount": 5}]).exec()
+        db.delete("orders").where(col("customer_id").eq(1)).exec()
+        assert told == []
+    (change,) = told
+    assert sorted(r["sum_amount"] for r in change["added"]) == [85] and sorted(r["sum_amount"] for r in change["removed"]) == [80, 150]
+
+
 def test_linear_aggregate(spark):
     db = shop(spark)
     plan = db.select("*").from_("orders").group_by("customer_id").count().sum("amount").avg("amount").plan()

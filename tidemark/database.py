@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ class Database:
         self._tables: dict[str, DataFrame] = {}
         self._schemas: dict[str, TableSchema] = {}
         self._depth: dict[str, int] = {}
+        self._held: tuple | None = None
         self.live = LiveRegistry(self)
 
     # ---- catalog
@@ -133,7 +135,25 @@ class Database:
             if self._depth[name] >= COMPACT_EVERY:
                 rows, self._depth[name] = checkpointed(rows), 0
             self._tables[name] = rows
-        self.live.publish(before, self.snapshot(), changes)
+        if self._held is not None:
+            for name, made in changes.items():
+                self._held[1].setdefault(name, []).extend(made)
+        else:
+            self.live.publish(before, self.snapshot(), changes)
+
+    @contextmanager
+    def batched(self):
+        """Live queries hear of all changes made inside at once, when the block ends."""
+        if self._held is not None:
+            yield self
+            return
+        self._held = (self.snapshot(), {})
+        try:
+            yield self
+        finally:
+            (before, changes), self._held = self._held, None
+            if changes:
+                self.live.publish(before, self.snapshot(), changes)
 
     # ---- GraphQL
     def graphql_schema(self) -> str:

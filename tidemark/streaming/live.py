@@ -100,10 +100,27 @@ class DeltaQuery(LiveQuery):
         if not zset.is_incremental(plan):
             raise NotIncremental("sort and limit have no delta rule; use changes()")
         super().__init__(registry, plan)
-        self.view = checkpointed(zset.consolidate(zset.weighted(plan.frame(registry.db.snapshot()))))
+        tables = registry.db.snapshot()
+        self.view = checkpointed(zset.consolidate(zset.weighted(plan.frame(tables))))
+        # Grouped counts and whole-number sums follow from deltas alone, without the tables.
+        self.linear = None
+        if isinstance(plan, nodes.Aggregate) and zset.LinearAggregate.is_exact(plan):
+            self.linear = zset.LinearAggregate(plan, tables)
+            self.linear.state = checkpointed(self.linear.state)
+
+    def _change(self, before, after, deltas):
+        if self.linear is None:
+            return zset.delta(self.plan, before, after, deltas)
+        change = zset.delta(self.plan.input, before, after, deltas)
+        if change is None:
+            return None
+        old = self.linear.touched(change)
+        self.linear.apply(change)
+        self.linear.state = checkpointed(self.linear.state)
+        return zset.difference(self.linear.touched(change), old)
 
     def changed(self, before, after, deltas) -> None:
-        change = zset.delta(self.plan, before, after, deltas)
+        change = self._change(before, after, deltas)
         if change is None:
             return
         change = checkpointed(zset.consolidate(change))

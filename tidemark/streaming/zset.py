@@ -135,6 +135,12 @@ class LinearAggregate:
 
     FUNCTIONS = ("count", "sum", "avg")
 
+    @classmethod
+    def is_exact(cls, plan: nodes.Aggregate) -> bool:
+        """Whether the kept sums are exact: whole numbers only, as sums of doubles drift."""
+        whole = all(func == "count" or f.spark_type in ("int", "bigint") for func, f, _ in plan.calls)
+        return bool(plan.keys and plan.calls) and whole and all(func in cls.FUNCTIONS for func, _, _ in plan.calls)
+
     def __init__(self, plan: nodes.Aggregate, tables: nodes.Tables):
         if any(func not in self.FUNCTIONS for func, _, _ in plan.calls) or not plan.keys:
             raise NotIncremental("only grouped COUNT, SUM and AVG are linear")
@@ -157,6 +163,10 @@ class LinearAggregate:
         sums = [c for c in self.state.columns if c not in {name for _, name in self.plan.keys}]
         self.state = merged.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).where("n <> 0")
 
+    def touched(self, change: DataFrame) -> DataFrame:
+        """The current rows of the groups that a Z-set of the input belongs to."""
+        return _semi(self.frame(), change, [(name, f.full) for f, name in self.plan.keys])
+
     def frame(self) -> DataFrame:
         out = [F.col(f"`{name}`") for _, name in self.plan.keys]
         for func, f, name in self.plan.calls:
