@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import textcore as tc
 from .common import checkpointed, require, shuffle_width
 
-ROW_BYTES = 8 << 20
+ROW_BYTES = 4 << 20
 
 
 def cover(min_length: int) -> tuple[int, np.ndarray]:
