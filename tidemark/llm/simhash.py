@@ -342,7 +342,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id",
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(distinct.select("fp"), distance))
     classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = classes.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "r")
+    # A plain table on this side lets the planner split a very large component in the join.
+    named = checkpointed(classes.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "r"))
     classes = classes.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
     out = prints.join(classes, F.col("fp") == F.col("f"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
