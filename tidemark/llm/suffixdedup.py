@@ -151,7 +151,7 @@ def text_blocks(docs: DataFrame, text_col: str, min_length: int, name: str, widt
 def shared_bits(blobs: DataFrame, width: int, value_bytes: int) -> DataFrame:
     """(block, flags): for each blob of values (block, row, bucket, values) a bit a value,
     set where the value occurs again in its bucket; all blobs of a block in one list."""
-    rows = blobs.repartition(width, "bucket").sortWithinPartitions("bucket")
+    rows = blobs.repartitionById(width, "bucket").sortWithinPartitions("bucket")  # one bucket a task
 
     def run(batches):
         current, held = None, []
