@@ -28,7 +28,7 @@ def test_stages(spark):
     toxic_free = [r.doc_id for r in scores if r.toxicity < toxicity.THRESHOLD]
     assert sorted(kept["toxicity"]) == sorted(toxic_free)
     clean = docs.where(docs.doc_id.isin(toxic_free))
-    classes = simhash.near_duplicates(clean, corpus_pipeline.DISTANCE, shingle=corpus_pipeline.SHINGLE_WORDS).collect()
+    classes = simhash.near_duplicates(clean, corpus_pipeline.DISTANCE, shingle=corpus_pipeline.SHINGLE_WORDS, family=corpus_pipeline.FAMILY).collect()
     assert sorted(kept["near_dedup"]) == sorted({r.component_id for r in classes})
     found = decontaminate.search(decontaminate.positional_index(docs), table(spark, DATA, "benchmark")).collect()
     hit = {r.doc_id for r in found if r.n_hit}

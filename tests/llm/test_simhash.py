@@ -103,6 +103,28 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({found[i].component_id for i in found})
 
 
+def test_a_family_links_where_any_fingerprint_does(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(500)}" for _ in range(90)]
+    texts = corpus(4)
+    for _ in range(40):
+        own = list(base)
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(90)] = f"x{rng.randrange(500)}"
+        texts.append(" ".join(own))
+    prints = simhash.fingerprint_family(pa.array(texts, pa.string()), 5, 42, 3)
+    assert prints[0].tolist() == simhash.fingerprints_of(pa.array(texts, pa.string()), 5).tolist()
+    root = list(range(len(texts)))
+    for own in prints.tolist():
+        for i in range(len(own)):
+            for j in range(i):
+                if bin(own[i] ^ own[j]).count("1") <= 6:
+                    a, b = root[i], root[j]
+                    root = [min(a, b) if r in (a, b) else r for r in root]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, texts), 6, shingle=5, family=3).collect()}
+    assert [found[i] for i in range(len(texts))] == root
+
+
 def test_edges(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     docs = documents(spark, ["same text here now"] * 3)

@@ -44,7 +44,13 @@ _LANE = np.uint64(0x0101010101010101)
 
 def fingerprints_of(column: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarray:
     """uint64 fingerprint of each text."""
-    out = np.zeros(len(column), np.uint64)
+    return fingerprint_family(column, shingle, seed, 1)[0]
+
+
+def fingerprint_family(column: pa.Array, shingle: int, seed: int, n: int) -> np.ndarray:
+    """n fingerprints of each text: the first from the shingles' hashes, the others from
+    the hashes mixed anew, so their bits are independent."""
+    out = np.zeros((n, len(column)), np.uint64)
     digest = xxhash.xxh64_intdigest
     for first, end, data, offsets in tc.chunks(column):
         if not len(data):
@@ -66,7 +72,8 @@ def fingerprints_of(column: pa.Array, shingle: int = 4, seed: int = 42) -> np.nd
         i = np.repeat(w.bounds[docs] - head[:-1], counts) + np.arange(head[-1])
         s, e = starts[i].tolist(), ends[i + np.repeat(span, counts)].tolist()
         h = np.array([digest(flat[a:b], seed) for a, b in zip(s, e)], np.uint64)
-        out[first + docs] = majority(h, head)
+        for k in range(n):
+            out[k, first + docs] = majority(tc.mix(h + np.uint64(k) * tc.BASE) if k else h, head)
     return out
 
 
@@ -85,17 +92,21 @@ def majority(h: np.ndarray, head: np.ndarray) -> np.ndarray:
     return fp
 
 
-def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every row."""
+def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, family: int = 1) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long) and fp1, fp2 ... for a larger family."""
     require(docs, id_col, text_col)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = ["fp", *(f"fp{k}" for k in range(1, family))]
 
     def run(batches):
         for batch in batches:
-            fp = fingerprints_of(batch.column(1), shingle, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fps = fingerprint_family(batch.column(1), shingle, seed, family).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, fps)], ["doc_id", *names])
 
-    return slim.mapInArrow(run, slim.select("doc_id").schema.add("fp", "long"))
+    schema = slim.select("doc_id").schema
+    for name in names:
+        schema = schema.add(name, "long")
+    return slim.mapInArrow(run, schema)
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -336,12 +347,50 @@ def block_links(blocks: DataFrame, distance: int, width: int) -> DataFrame:
     return checkpointed(pairs.select("sides").repartition(width).mapInArrow(run, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits) and component_id of every row."""
-    prints = checkpointed(fingerprinted(docs, id_col, text_col, shingle, seed))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(links(distinct.select("fp"), distance))
-    classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+def family_roots(distinct: DataFrame, distance: int, family: int) -> DataFrame:
+    """(node, root) of first fingerprints, where any fingerprint of the family links two texts.
+
+    Vertices are (place in the family, fingerprint). A text ties its fingerprints
+    together; the tie matters only where the later one links or is shared."""
+    vertex = lambda k, c: F.struct(F.lit(k).alias("k"), F.col(c).alias("fp"))
+    edges, ties = [], []
+    for k in range(family):
+        own = distinct.select(F.col(f"fp{k or ''}").alias("fp")).distinct()
+        edges.append(links(own, distance).select(vertex(k, "a").alias("a"), vertex(k, "b").alias("b")))
+        if k:
+            ties.append(distinct.select(vertex(0, "fp").alias("a"), vertex(k, f"fp{k}").alias("b")).distinct())
+    edges, ties = (checkpointed(union_of(x)) for x in (edges, ties))
+    shared = ties.groupBy("b").count().where("count > 1").select("b")
+    used = edges.select("a").union(edges.select("b")).toDF("b").union(shared).distinct()
+    roots = components(edges.union(ties.join(used, "b", "left_semi").select("a", "b")))
+    return roots.where("node.k = 0").select(F.col("node.fp").alias("node"), "root")
+
+
+def union_of(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, family: int = 1) -> DataFrame:
+    """doc_id, fingerprint (16 lowercase hex digits) and component_id of every row.
+
+    With ``family`` above 1, texts link where any of so many independent fingerprints
+    differ in at most ``distance`` bits; the fingerprint returned is the first."""
+    prints = checkpointed(fingerprinted(docs, id_col, text_col, shingle, seed, family))
+    names = [c for c in prints.columns if c.startswith("fp")]
+    distinct = prints.groupBy(*names).agg(F.min("doc_id").alias("least_id"))
+    if family > 1:
+        distinct = checkpointed(distinct)
+        roots = family_roots(distinct, distance, family)
+        distinct = distinct.groupBy("fp").agg(F.min("least_id").alias("least_id"))
+        own = F.struct(F.lit(0).alias("k"), F.col("fp").alias("fp"))
+    else:
+        distinct = checkpointed(distinct)
+        roots = components(links(distinct.select("fp"), distance))
+        own = F.col("fp")
+    classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", own).alias("root"))
     # A plain table on this side lets the planner split a very large component in the join.
     named = checkpointed(classes.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "r"))
     classes = classes.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
@@ -349,11 +398,11 @@ def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
+def one_of_each(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, family: int = 1) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the
     smallest id. Where rows share that id, the one with the least text hash stays; rows
     without an id stay, as nothing tells them apart."""
-    found = checkpointed(near_duplicates(docs, distance, id_col, text_col, shingle, seed))
+    found = checkpointed(near_duplicates(docs, distance, id_col, text_col, shingle, seed, family))
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     out = docs.join(kept, F.col(id_col) == F.col("kept_id")).drop("kept_id")
     if found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count():
