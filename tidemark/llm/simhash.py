@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .common import checkpointed, require, shuffle_width
-from .components import components
+from .components import components, local_forest, spanning
 
 BLOCK = 4096
 LEAF = 16
@@ -117,20 +117,6 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return r
 
 
-def spanning(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
-    """Least node of each node's component, from edges between a and b."""
-    root = np.arange(n) if root is None else root
-    while True:
-        x, y = root[a], root[b]
-        apart = x != y
-        if not apart.any():
-            return root
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(up := root[root], root):
-            root = up
-
-
 class GrayIndex:
     """Hierarchy over fingerprints sorted by Gray rank; ``levels[0]`` are the leaves."""
 
@@ -318,7 +304,7 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     heavy = found.where("kind = 1")
     if heavy.limit(1).count():
         edges = edges.union(block_links(heavy, distance, width))
-    return edges
+    return local_forest(edges)  # masks find the same links again and again
 
 
 def block_links(blocks: DataFrame, distance: int, width: int) -> DataFrame:
