@@ -73,7 +73,8 @@ def fingerprint_family(column: pa.Array, shingle: int, seed: int, n: int) -> np.
         s, e = starts[i].tolist(), ends[i + np.repeat(span, counts)].tolist()
         h = np.array([digest(flat[a:b], seed) for a, b in zip(s, e)], np.uint64)
         for k in range(n):
-            out[k, first + docs] = majority(tc.mix(h + np.uint64(k) * tc.BASE) if k else h, head)
+            salt = np.uint64(k * int(tc.BASE) % (1 << 64))
+            out[k, first + docs] = majority(tc.mix(h + salt) if k else h, head)
     return out
 
 
