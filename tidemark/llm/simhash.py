@@ -51,6 +51,19 @@ def fingerprint_family(column: pa.Array, shingle: int, seed: int, n: int) -> np.
     """n fingerprints of each text: the first from the shingles' hashes, the others from
     the hashes mixed anew, so their bits are independent."""
     out = np.zeros((n, len(column)), np.uint64)
+    for docs, head, h in shingle_hashes(column, shingle, seed):
+        out[:, docs] = family_of(h, head, n)
+    return out
+
+
+def family_of(h: np.ndarray, head: np.ndarray, n: int) -> np.ndarray:
+    salts = [np.uint64(k * int(tc.BASE) % (1 << 64)) for k in range(n)]
+    return np.stack([majority(tc.mix(h + salt) if k else h, head) for k, salt in enumerate(salts)])
+
+
+def shingle_hashes(column: pa.Array, shingle: int, seed: int):
+    """(rows, head, h) of runs of rows with words: row rows[d] has the shingles' hashes
+    h[head[d]:head[d + 1]], repeats included."""
     digest = xxhash.xxh64_intdigest
     for first, end, data, offsets in tc.chunks(column):
         if not len(data):
@@ -71,11 +84,7 @@ def fingerprint_family(column: pa.Array, shingle: int, seed: int, n: int) -> np.
         head = np.concatenate([[0], np.cumsum(counts)])
         i = np.repeat(w.bounds[docs] - head[:-1], counts) + np.arange(head[-1])
         s, e = starts[i].tolist(), ends[i + np.repeat(span, counts)].tolist()
-        h = np.array([digest(flat[a:b], seed) for a, b in zip(s, e)], np.uint64)
-        for k in range(n):
-            salt = np.uint64(k * int(tc.BASE) % (1 << 64))
-            out[k, first + docs] = majority(tc.mix(h + salt) if k else h, head)
-    return out
+        yield first + docs, head, np.array([digest(flat[a:b], seed) for a, b in zip(s, e)], np.uint64)
 
 
 def majority(h: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -389,7 +398,12 @@ def one_of_each(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text
     """The rows of ``docs`` without near-duplicates: of each component the row with the
     smallest id. Where rows share that id, the one with the least text hash stays; rows
     without an id stay, as nothing tells them apart."""
-    found = checkpointed(near_duplicates(docs, distance, id_col, text_col, shingle, seed, family))
+    return first_rows(docs, near_duplicates(docs, distance, id_col, text_col, shingle, seed, family), id_col, text_col)
+
+
+def first_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, by the component_id that ``found`` has for each doc_id."""
+    found = checkpointed(found)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     out = docs.join(kept, F.col(id_col) == F.col("kept_id")).drop("kept_id")
     if found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count():
