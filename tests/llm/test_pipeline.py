@@ -44,6 +44,14 @@ def test_stages(spark):
         assert abs(got[s] - wanted[s]) <= longest
 
 
+@pytest.mark.parametrize("labels", [[], [(i, None) for i in range(50)]])
+def test_nothing_is_toxic_without_labels(spark, tmp_path, labels):
+    docs = table(spark, DATA, "documents")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.without_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, DATA).collect()
     assert rows and {r.shard for r in rows} <= set(range(8))

@@ -10,7 +10,8 @@ a seeded hash of the id. Scores use the text alone.
 
 Edge cases: null and empty texts have no features and score as the intercept; labels
 without a matching document or without a value teach nothing; several labels of an id
-count as toxic if one is; without any label every score is 0.5; repeated rows score alike.
+count as toxic if one is; without any label every score is 0.5, and ``not_toxic`` keeps
+every row; repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -134,3 +135,12 @@ def scored(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     from pyspark.sql.types import StructType
 
     return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("toxicity", "double"))
+
+
+def not_toxic(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below THRESHOLD; all of them if the model has
+    learned nothing (no weights and no intercept), as it cannot tell them apart."""
+    kept, _, intercept = model
+    if not len(kept) and not intercept:
+        return docs
+    return scored(docs, model, text_col).where(F.col("toxicity") < THRESHOLD).select(*docs.columns)
