@@ -20,6 +20,12 @@ def corpus(seed=1, n=60):
     return texts
 
 
+def thue_morse(n):
+    """Two texts of n letters with the same value under every polynomial hash modulo a power of two."""
+    text = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
 def documents(spark, texts, first=0):
     """documents with columns whose names clash with those of results."""
     rows = [(first + i, t, ["en", "fr", None][i % 3], [None, "s1", "s2", "hot", "hot"][i % 5], len(t or ""), "clash", i) for i, t in enumerate(texts)]

@@ -3,7 +3,7 @@ import re
 import pyarrow as pa
 
 from tidemark.llm import quality
-from .data import corpus, documents, empty
+from .data import corpus, documents, empty, thue_morse
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -40,3 +40,12 @@ def test_edges(spark):
     assert quality.judged(empty(spark)).count() == 0
     docs = documents(spark, [None, "", "x"])
     assert [r.kept for r in quality.judged(docs.union(docs)).collect()] == [False] * 6
+
+
+def test_lines_and_windows_are_compared_exactly(monkeypatch):
+    one, other = thue_morse(1024)
+    texts = [f"{one}\n{other}", f"{one}\n{other}\n{one}", " ".join([one] * 7 + [other] + [one] * 8)]
+    expected = [brute(t) for t in texts]
+    assert list(zip(*(m.tolist() for m in quality.measures(pa.array(texts))))) == expected
+    monkeypatch.setattr(quality.tc, "window_hash", lambda codes, n: codes[n - 1 :] * 0)  # every window has one hash
+    assert list(zip(*(m.tolist() for m in quality.measures(pa.array(texts))))) == expected

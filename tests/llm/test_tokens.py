@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tidemark.llm import huffman, textcore as tc, tokencounts, tokens
-from .data import corpus, documents, empty
+from .data import corpus, documents, empty, thue_morse
 
 P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -36,6 +36,30 @@ def test_words_encode_as_the_tokenizer_does(monkeypatch):
     assert at == len(texts)
 
 
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_are_known_by_their_bytes(n):
+    coder, full = tokens.WordEncoder(FILE), tokenizers.Tokenizer.from_file(FILE)
+    for text in (" ".join(thue_morse(n)), " ".join(reversed(thue_morse(n)))):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert coder.encode(data, np.array([0, len(data)]))[0].tolist() == full.encode(text, add_special_tokens=False).ids
+
+
+def test_words_of_one_hash(monkeypatch):
+    monkeypatch.setattr(tc, "identity_hash", lambda a, b: (b >> np.uint64(58)) + np.uint64(2))  # by length alone
+    coder, full = tokens.WordEncoder(FILE), tokenizers.Tokenizer.from_file(FILE)
+    for text in ("aa bb cc aa some other words bb", "cc dd ee some others"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert coder.encode(data, np.array([0, len(data)]))[0].tolist() == full.encode(text, add_special_tokens=False).ids
+
+
+def test_another_file_takes_whole_texts(tmp_path):
+    """A tokenizer whose steps are not known may join text across white space."""
+    other = tokenizers.Tokenizer(tokenizers.models.BPE({"a": 0, " ": 1, "a ": 2, "a a": 3}, [("a", " "), ("a ", "a")]))
+    other.save(str(tmp_path / "t.json"))
+    data = np.frombuffer(b"a aa", np.uint8)
+    assert tokens.WordEncoder(str(tmp_path / "t.json")).encode(data, np.array([0, 3, 4]), 7)[0].tolist() == [3, 7, 0, 7]
+
+
 def test_code_lengths():
     rng = np.random.default_rng(0)
     for counts in (rng.integers(0, 1000, 500), 2 ** np.arange(30), np.array([0, 7, 0]), np.zeros(4, int), np.ones(16, int), np.array([3, 1])):
@@ -73,6 +97,15 @@ def test_store(spark, monkeypatch):
         at += len(ids)
 
 
+def test_a_frequent_id_is_spread(spark):
+    docs = spark.createDataFrame([(None, f"text {i % 7}") for i in range(400)], "doc_id long, text string")
+    path = huffman.new_store_path(spark)
+    huffman.write_store(docs.repartition(5), path, FILE)
+    assert spark.read.parquet(f"{path}/blocks").select("part").distinct().count() > 1
+    found = sorted((r.start, r.n_tokens) for r in huffman.read_store(spark, path).collect())
+    assert len(found) == 400 and all(a + n == b for (a, n), (b, _) in zip(found, found[1:]))
+
+
 def test_store_edges(spark):
     path = huffman.new_store_path(spark)
     huffman.write_store(empty(spark), path, FILE)

@@ -16,8 +16,9 @@ length, then id). A block is decoded without any other; inside it the stretches
 between checkpoints are decoded side by side with a table of 2 ** max_bits entries.
 
 Edge cases: null and empty texts hold the end id alone; a null doc_id comes first;
-rows with one doc_id are ordered by their text's hash; an empty table gives an empty
-store; a single used id gets a code of one bit.
+rows with one doc_id are ordered by their ids' hash, and may fall into several tasks; an
+empty table gives an empty store; a single used id gets a code of one bit; a long text
+is one row and one block, whole.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import require, shared_folder, shuffle_width
+from .common import delete_folder, require, shared_folder, shuffle_width, small_batches
 from .tokens import encoder
 
 MAX_BITS = 18
-BLOCK_TOKENS = 1 << 20
-CHECKPOINT = 512
+BLOCK_TOKENS = 1 << 17
+CHECKPOINT = 128
+#: Ids coded at once, for the caches, and ids that a task puts in order, about.
+STRETCH, TASK_TOKENS = 1 << 14, 1 << 24
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -94,8 +97,7 @@ def decode_table(lengths: np.ndarray, max_bits: int) -> np.ndarray:
 
 def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, bytes]:
     """(bits, checkpoints) of a block's ids; the work goes in stretches that fit a cache."""
-    step = 32 * CHECKPOINT
-    words = np.zeros(0, np.uint64)
+    step = STRETCH
     pieces, marks, base = [], [], 0
     for i in range(0, len(ids), step):
         part = ids[i : i + step]
@@ -137,90 +139,102 @@ def decode_bits(bits: bytes, checkpoints: bytes, n_tokens: int, table: np.ndarra
     return out.T.ravel()[:n_tokens]
 
 
-def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of consecutive documents in ascending order of ids: part, start, doc_ids,
-    lengths (int64), n_tokens, ids (little-endian uint32, or uint16 where they fit), and
-    the ids used (uint32) with their counts (uint32)."""
+def token_rows(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document, made where the document is: doc_id, part and row (where it was
+    made), n_tokens and ids (little-endian uint32, or uint16 where they fit)."""
     require(docs, id_col, text_col)
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    slim = slim.repartitionByRange(max(8, 2 * shuffle_width(docs.sparkSession)), "doc_id")
-    slim = slim.sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches):
         coder = encoder(tokenizer)
         width = np.dtype("<u2" if max(coder.vocabulary, end_id + 1) <= 1 << 16 else "<u4")
-        part, start, pending, held = TaskContext.get().partitionId(), 0, [], 0
-
-        def row():
-            names, each, flat = zip(*pending)
-            names = pa.concat_arrays(names)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
-            n = np.concatenate(each)
-            flat = np.concatenate(flat)
-            counts = np.bincount(flat)
-            used = np.flatnonzero(counts)
-            values = [lists, *[pa.array([v], t) for v, t in ((n.tobytes(), pa.binary()), (int(n.sum()), pa.int64()), (flat.tobytes(), pa.binary()), (used.astype(np.uint32).tobytes(), pa.binary()), (counts[used].astype(np.uint32).tobytes(), pa.binary()))]]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start], pa.int64()), *values], ["part", "start", "doc_ids", "lengths", "n_tokens", "ids", "used", "counts"])
-
+        part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for first, end, data, offsets in tc.chunks(batch.column(1)):
-                ids, each = coder.encode(data, offsets, end_id)
-                pending.append((batch.column(0).slice(first, end - first), each, ids.astype(width)))
-                held += len(ids)
-                if held >= BLOCK_TOKENS:
-                    yield row()
-                    start, pending, held = start + held, [], 0
-        if pending:
-            yield row()
+                ids, n = coder.encode(data, offsets, end_id)
+                rows = end - first
+                upto = np.concatenate([[0], np.cumsum(n)]) * width.itemsize
+                texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(ids.astype(width))])
+                columns = [batch.column(0).slice(first, rows), pa.array(np.full(rows, part, np.int32)), pa.array(np.arange(row, row + rows)), pa.array(n), texts.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "row", "n_tokens", "ids"])
+                row += rows
+
+    return slim.mapInArrow(run, f"doc_id {kind}, part int, row long, n_tokens long, ids binary")
+
 
-    return slim.mapInArrow(run, f"part int, start long, doc_ids array<{kind}>, lengths binary, n_tokens long, ids binary, used binary, counts binary")
+def ids_of(column: pa.Array, n: np.ndarray) -> np.ndarray:
+    """All ids of a column of ``token_rows``, one after the other."""
+    column = tc.as_binary(column)
+    cut = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[cut[0] : cut[-1]] if cut[-1] > cut[0] else np.zeros(0, np.uint8)
+    return raw.view("<u2" if len(raw) == 2 * int(n.sum()) else "<u4")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> None:
     """Tokenize and write a store at ``path``. The ids are computed once, kept in a
-    table beside the store until they are coded, and then deleted."""
+    table beside the store until they are coded, and then deleted; texts do not move."""
     spark = docs.sparkSession
     kept = f"{path}-ids"
-    token_blocks(docs, tokenizer, end_id, id_col, text_col).write.option("compression", "zstd").parquet(kept)
-    blocks = spark.read.parquet(kept)
-
-    def width(n_bytes, n):
-        return np.dtype("<u2" if n_bytes == 2 * n else "<u4")
+    token_rows(docs, tokenizer, end_id, id_col, text_col).write.option("compression", "zstd").parquet(kept)
+    rows = spark.read.parquet(kept)
 
     def count(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for used, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                used, n = np.frombuffer(used, np.uint32), np.frombuffer(n, np.uint32)
-                if len(used) and used[-1] >= len(total):
-                    total = np.concatenate([total, np.zeros(int(used[-1]) + 1 - len(total), np.int64)])
-                total[used] += n
+            found = np.bincount(ids_of(batch.column(0), batch.column(1).to_numpy()))
+            if len(found) > len(total):
+                total, found = found, total
+            total[: len(found)] += found
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
-    counted = blocks.select("used", "counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = rows.select("ids", "n_tokens").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in counted), default=0) + 1, np.int64)  # at most one row an id of the vocabulary
     for r in counted:
         counts[r.id] = r.n
     lengths = code_lengths(counts, max_bits)
     spark.createDataFrame([(max_bits, bytearray(lengths.tobytes()))], "max_bits int, lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     shared = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))
+    # Rows of one id are told apart by where they were made, so a frequent id is spread too.
+    parts = max(shuffle_width(spark), -(-int(counts.sum()) // TASK_TOKENS))
+    order = ("doc_id", F.xxhash64("ids"), "part", "row")
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
 
     def encode(batches):
         lengths, codes = shared.value
+        part, start, pending, held = TaskContext.get().partitionId(), 0, [], 0
+
+        def block():
+            names, each, flat = zip(*pending)
+            names, n = pa.concat_arrays(names), np.concatenate(each)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
+            bits, marks = encode_bits(np.concatenate(flat), lengths, codes)
+            values = ((n.tobytes(), pa.binary()), (held, pa.int64()), (bits, pa.binary()), (marks, pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start], pa.int64()), lists, *[pa.array([v], t) for v, t in values]], ["part", "start", "doc_ids", "lengths", "n_tokens", "bits", "checkpoints"])
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw, n = batch.column(5)[i].as_py(), batch.column(4)[i].as_py()
-                bits, marks = encode_bits(np.frombuffer(raw, width(len(raw), n)), lengths, codes)
-                one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*one.columns[:5], pa.array([bits], pa.binary()), pa.array([marks], pa.binary())], ["part", "start", "doc_ids", "lengths", "n_tokens", "bits", "checkpoints"])
+            n = batch.column(1).to_numpy()
+            ids = ids_of(batch.column(2), n)
+            upto = np.concatenate([[0], np.cumsum(n)])
+            first = 0
+            while first < len(n):
+                room = BLOCK_TOKENS - held
+                end = max(first + 1, int(np.searchsorted(upto, upto[first] + room, "right")) - 1)
+                pending.append((batch.column(0).slice(first, end - first), n[first:end], ids[upto[first] : upto[end]].copy()))
+                held += int(upto[end] - upto[first])
+                if held >= BLOCK_TOKENS or end < len(n):
+                    yield block()
+                    start, pending, held = start + held, [], 0
+                first = end
+        if pending:
+            yield block()
 
-    kind = blocks.schema["doc_ids"].dataType.simpleString()
-    coded = blocks.select("part", "start", "doc_ids", "lengths", "n_tokens", "ids").mapInArrow(encode, f"part int, start long, doc_ids {kind}, lengths binary, n_tokens long, bits binary, checkpoints binary")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    coded = placed.mapInArrow(encode, f"part int, start long, doc_ids array<{kind}>, lengths binary, n_tokens long, bits binary, checkpoints binary")
     coded.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(kept)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    delete_folder(spark, kept)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

@@ -48,7 +48,6 @@ def measures(column: pa.Array) -> list[np.ndarray]:
         if not len(data):
             continue
         w = tc.Words(data, offsets, tc.SPACE_WORD)
-        prefix = tc.prefix_hash(data)
         rows = slice(first, end)
         out[0][rows] = w.counts
         out[1][rows] = tc.per_doc(w.inside & ((data & 0xC0) != 0x80), offsets)
@@ -61,29 +60,43 @@ def measures(column: pa.Array) -> list[np.ndarray]:
         with_word = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
         starts, ends = starts[with_word], ends[with_word]
         doc = np.searchsorted(offsets, starts, "right") - 1
-        key = tc.segment_hash(prefix, starts, ends) ^ tc.mix(doc.astype(np.uint64) + np.uint64(1))
-        _, at = np.unique(key, return_index=True)
-        lines = np.bincount(doc, minlength=n)
-        out[3][rows] = lines - np.bincount(doc[at], minlength=n)
-        out[5][rows] = lines
+        a, b = tc.identities(data, starts, ends)
+        owner = doc.astype(np.uint64)
+        order, new = tc.grouped(tc.identity_hash(a, b) ^ tc.mix(owner), owner, a, b)
+        out[3][rows] = np.bincount(doc[order[~new]], minlength=n)
+        out[5][rows] = np.bincount(doc, minlength=n)
 
         if len(w.starts) > WINDOW:
-            codes = tc.segment_hash(prefix, w.starts, w.ends)
+            a, b = tc.identities(data, w.starts, w.ends)
+            codes = tc.identity_hash(a, b)
             owner = w.doc
             whole = np.flatnonzero(owner[: 1 - WINDOW] == owner[WINDOW - 1 :])
-            key = tc.window_hash(codes, WINDOW)[whole] ^ tc.mix(owner[whole].astype(np.uint64) + np.uint64(1))
-            order = np.argsort(key)
-            key = key[order]
-            same = key[1:] == key[:-1]
-            twice = np.zeros(len(key), bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            at = whole[order[twice]]
+            at = whole[repeated_windows(codes, a, b, owner, whole)]
             cover = np.bincount(at, minlength=len(codes) + 1) - np.bincount(at + WINDOW, minlength=len(codes) + 1)[: len(codes) + 1]
             out[4][rows] = tc.per_doc(np.cumsum(cover)[: len(codes)] > 0, w.bounds)
     return out
 
 
+def repeated_windows(codes, a, b, owner, starts) -> np.ndarray:
+    """Places in ``starts`` of the windows that occur again in their document: by hash
+    first, then those that are left by the identities of all their words."""
+    key = tc.window_hash(codes, WINDOW)[starts] ^ tc.mix(owner[starts].astype(np.uint64) + np.uint64(1))
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    twice = np.zeros(len(key), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    left = order[twice]
+    if not len(left):
+        return left
+    at = starts[left]
+    words = [x[at + k] for k in range(WINDOW) for x in (a, b)]
+    order, new = tc.grouped(key[left], owner[at], *words)
+    again = ~new
+    again[:-1] |= ~new[1:]
+    return left[order[again]]
+
+
 def document_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id, host and the measures of every row."""
     require(docs, id_col, text_col, host_col)

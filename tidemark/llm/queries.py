@@ -115,8 +115,7 @@ def op6_shard_documents(spark, sf_dir):
 
 
 def op7_decontaminate(spark, sf_dir):
-    index = decontaminate.positional_index(table(spark, sf_dir, "documents"))
-    found = decontaminate.search(index, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
@@ -129,7 +128,7 @@ WITH split AS (
 items AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
-  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
 item_windows AS (
   SELECT DISTINCT item, m, array_to_string(list_slice(words, i, i + m - 1), ' ') AS w
   FROM (SELECT item, words, least(10, len(words)) AS m, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS i
@@ -140,7 +139,7 @@ doc_windows AS (
         FROM split, (SELECT DISTINCT m FROM item_windows) WHERE len(words) >= m)),
 matches AS (SELECT r, d.m, i, item FROM doc_windows d JOIN item_windows USING (m, w)),
 hit_words AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM matches, range(0, 10) t(k) WHERE k < m GROUP BY r),
-hit_items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM matches) GROUP BY r)
+hit_items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM matches WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM split LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)

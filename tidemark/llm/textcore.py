@@ -1,13 +1,18 @@
-"""Vectorised byte-level text kernels: words, lines and hashes over Arrow buffers.
+"""Vectorised byte-level text kernels: words, lines, hashes and identities over Arrow buffers.
 
 All kernels see the whole UTF-8 text of each document. Documents are taken in
 chunks of bounded bytes, so the working set stays small whatever a batch holds;
-one document is never cut.
+one document is never cut, so the longest document bounds a chunk from below: the
+working arrays take some tens of bytes for each of its bytes.
+
+Two byte ranges are taken for equal by their ``identities`` alone; the plain 64-bit
+hashes only choose features and places.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +124,68 @@ def segment_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Low bytes kept of a lane for 0 to 8 bytes.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Ranges of up to so many bytes are their own identity.
+SHORT = 15
+_KEY = b"identity of a byte range"
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one little-endian integer; zeros follow the end."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+
+
+def identities(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits (a, b) for each byte range, equal if and only if the bytes are.
+
+    Up to SHORT bytes are held as they are, with their number in the top byte; a longer
+    range has 120 bits of a keyed BLAKE2 digest and 255 in the top byte."""
+    n = ends - starts
+    lane = lanes(data)
+    a = lane[starts] & _KEPT[np.minimum(n, 8)]
+    b = lane[np.minimum(starts + 8, len(data) + 8)] & _KEPT[np.clip(n - 8, 0, 7)]
+    b |= n.astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(n > SHORT)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        digests = b"".join([blake2b(raw[s:e], digest_size=16, key=_KEY).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist())])
+        pair = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        a[long], b[long] = pair[:, 0], pair[:, 1] | (np.uint64(255) << np.uint64(56))
+    return a, b
+
+
+def identity_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a + mix(b) * BASE)
+
+
+def grouped(h: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): the rows sorted by hash, rows with equal columns next to each other and
+    in their old order; ``new`` marks the first of each distinct row. The hash follows from
+    the columns and need not tell all of them apart."""
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    differs = np.zeros(len(h), bool)
+    for c in columns:
+        differs[1:] |= c[order[1:]] != c[order[:-1]]
+    if (differs & ~new).any():  # one hash, several values
+        order = np.lexsort((*columns, h))
+        for c in (h, *columns):
+            new[1:] |= c[order[1:]] != c[order[:-1]]
+    return order, new
+
+
+def labels(h: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for rows with equal columns."""
+    order, new = grouped(h, *columns)
+    out = np.empty(len(h), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def window_hash(codes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n consecutive codes (len(codes) - n + 1 of them)."""
     m = len(codes) - n + 1

@@ -2,7 +2,11 @@
 
 The vocabulary's normaliser and pre-tokenizer never join text across ASCII white
 space, so a text's ids are those of its words in order, and each distinct word need
-be encoded once while the cache holds it.
+be encoded once while the cache holds it. A cached word is known by its identity
+(``textcore.identities``), so a word never gets the ids of another.
+
+The cut at white space is a property of the tokenizer file: files whose steps are the
+ones known here have it; any other file is used by whole texts, without a cache.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ import numpy as np
 from . import textcore as tc
 
 #: Beyond these the caches shed what they have met only once.
-MAX_CACHED_WORDS = 300_000
-MAX_CACHED_PIECES = 150_000
+MAX_CACHED_WORDS = 60_000
+MAX_CACHED_PIECES = 30_000
 
 #: Below this code point a file's pattern is run as explicit classes; no letter there
 #: changes under NFC, and lower-casing is by character.
@@ -115,8 +119,6 @@ class WordEncoder:
 
     def _ids_of(self, words: list[bytes]) -> list:
         """Ids of each of the words, which hold no ASCII white space."""
-        if self.pattern is None:
-            return [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
         known, out = self.pieces.get, []
         for i, low in enumerate(b"\n".join(words).decode().lower().split("\n")):
             ids = known(low)  # a piece that stands alone is cut as itself
@@ -135,6 +137,7 @@ class WordEncoder:
     def clear(self):
         self.places = HashTable()
         self.start, self.length, self.met = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.a, self.b = (np.zeros(1 << 12, np.uint64) for _ in range(2))
         self.flat, self.used = np.zeros(1 << 14, np.int32), 0
 
     def _shed(self):
@@ -144,47 +147,69 @@ class WordEncoder:
         if len(often) > MAX_CACHED_WORDS // 2:
             often = np.sort(often[np.argsort(-self.met[often], kind="stable")[: MAX_CACHED_WORDS // 2]])
         hashes, start, length, flat = self.places.hashes()[often], self.start[often], self.length[often], self.flat
+        a, b = self.a[often], self.b[often]
         self.clear()
         ends = np.cumsum(length)
         ids = flat[np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        self._put(hashes, ids, length)
+        self._put(hashes, a, b, ids, length)
         self.met[: len(often)] = 1
 
-    def _put(self, hashes: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+    def _put(self, hashes, a, b, ids: np.ndarray, n: np.ndarray) -> None:
         first, total = self.places.size, len(ids)
         self.places.add(hashes)
         if self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + total, np.int32)])
         if first + len(n) > len(self.start):
-            self.start, self.length, self.met = (np.concatenate([x, np.zeros(len(x) + len(n), np.int64)]) for x in (self.start, self.length, self.met))
+            grown = [np.concatenate([x, np.zeros(len(x) + len(n), x.dtype)]) for x in (self.start, self.length, self.met, self.a, self.b)]
+            self.start, self.length, self.met, self.a, self.b = grown
         self.flat[self.used : self.used + total] = ids
         self.start[first : first + len(n)] = self.used + np.cumsum(n) - n
         self.length[first : first + len(n)] = n
+        self.a[first : first + len(n)], self.b[first : first + len(n)] = a, b
         self.used += total
 
-    def _learn(self, words: tc.Words, h: np.ndarray) -> None:
-        """Encode the words of a chunk whose hashes are unknown."""
-        new, at = np.unique(h, return_index=True)
-        if len(self.pieces) > MAX_CACHED_PIECES:
-            self.pieces.clear()
-        raw = words.data.tobytes()
-        found = self._ids_of([raw[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())])
+    def _learn(self, words: tc.Words, at: np.ndarray, hashes, a, b) -> None:
+        """Encode the words at these places, whose hashes are distinct and unknown."""
+        raw = memoryview(words.data)
+        for i in range(0, len(at), MAX_CACHED_PIECES):
+            if len(self.pieces) > MAX_CACHED_PIECES:
+                self.pieces.clear()
+            part = at[i : i + MAX_CACHED_PIECES]
+            found = self._ids_of([bytes(raw[s:e]) for s, e in zip(words.starts[part].tolist(), words.ends[part].tolist())])
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            self._put(hashes[part], a[part], b[part], np.fromiter(chain.from_iterable(found), np.int32, int(n.sum())), n)
+
+    def _places(self, words: tc.Words) -> np.ndarray:
+        """The place of every word in the cache, put there where it was not."""
+        a, b = tc.identities(words.data, words.starts, words.ends)
+        h = tc.identity_hash(a, b) | np.uint64(1)
+        place, todo = np.zeros(len(h), np.int64), np.arange(len(h))
+        while len(todo):
+            found = self.places.find(h[todo])
+            there = found >= 0
+            same = there & (self.a[found] == a[todo]) & (self.b[found] == b[todo])
+            place[todo[same]] = found[same]
+            new, taken = todo[~there], todo[there & ~same]
+            if len(new):
+                self._learn(words, new[np.unique(h[new], return_index=True)[1]], h, a, b)
+            h[taken] = tc.mix(h[taken]) | np.uint64(1)  # another word's hash: try a next one
+            todo = np.concatenate([new, taken])
+        return place
+
+    def _encode_whole(self, data: np.ndarray, offsets: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        raw, cut = data.tobytes(), offsets.tolist()
+        found = [self.tokenizer.encode(raw[s:e].decode(), add_special_tokens=False).ids + end for s, e in zip(cut[:-1], cut[1:])]
         n = np.fromiter(map(len, found), np.int64, len(found))
-        self._put(new, np.fromiter(chain.from_iterable(found), np.int32, int(n.sum())), n)
+        return np.fromiter(chain.from_iterable(found), np.int32, int(n.sum())), n
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a chunk in one array, number of ids of each)."""
+        if self.pattern is None:
+            return self._encode_whole(data, offsets, [] if end_id is None else [end_id])
         if self.places.size > MAX_CACHED_WORDS:
             self._shed()
         words = tc.Words(data, offsets, tc.SPACE_WORD)
-        h = tc.segment_hash(tc.prefix_hash(data), words.starts, words.ends) | np.uint64(1)
-        place = self.places.find(h)
-        unknown = np.flatnonzero(place < 0)
-        if len(unknown):
-            part = tc.Words.__new__(tc.Words)
-            part.data, part.starts, part.ends = data, words.starts[unknown], words.ends[unknown]
-            self._learn(part, h[unknown])
-            place[unknown] = self.places.find(h[unknown])
+        place = self._places(words)
         if self.places.size:
             self.met[: self.places.size] += np.bincount(place, minlength=self.places.size)
         n = self.length[place]
