@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -76,18 +77,45 @@ def test_pack_fills_in_every_dimension():
     assert (loads.max(axis=0) / loads.mean(axis=0) < 1.02).all()
 
 
-def test_shards(spark):
-    texts = corpus() + ["copied text of a hot group"] * 150
-    rows = sharding.sharded(documents(spark, texts)).collect()
+@pytest.mark.parametrize("own_unit", [2048, 20])
+def test_shards(spark, monkeypatch, own_unit):
+    """Groups are whole, sizes near equal, slots gapless; with own_unit 20 most groups go through buckets."""
+    monkeypatch.setattr(sharding, "OWN_UNIT", own_unit)
+    monkeypatch.setattr(sharding, "BUCKETS", 16)
+    texts = corpus(n=300)[:-5] + ["copied text of a group"] * 150 + [None, "", ""]
+    docs = documents(spark, [t for t in texts if t is None or len(t) < 5000])
+    texts = [r.text for r in sorted(docs.collect())]
+    rows = sharding.sharded(docs).collect()
     slots, shards_of, size = defaultdict(list), defaultdict(set), Counter()
     for r in rows:
         slots[r.shard].append(r.slot)
         shards_of[texts[r.doc_id] or ""].add(r.shard)
         size[r.shard] += r["size"]
         assert r["size"] == len((texts[r.doc_id] or "").encode()) + 1 and r.law == "bytes" and r.grown_shard is None
+        assert r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode())
     assert len(rows) == len(texts) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    hot = "copied text of a hot group"
-    assert all(len(s) == 1 for t, s in shards_of.items() if t != hot) and len(shards_of[hot]) > 1
+    assert all(len(s) == 1 for s in shards_of.values())
+    mean = sum(size.values()) / 8
+    assert len(size) == 8 and max(abs(size[s] - mean) for s in range(8)) < (0.03 if own_unit == 2048 else 0.06) * mean
+
+
+def test_a_group_above_a_shard_is_cut_as_little_as_bytes_allow(spark):
+    texts = ["x" * 99] * 400 + [f"{i} " + "y" * 95 for i in range(800)]  # a third: 2.7 shards
+    rows = sharding.sharded(documents(spark, texts)).collect()
+    size, hot = Counter(), set()
+    for r in rows:
+        size[r.shard] += r["size"]
+        hot |= {r.shard} if r.doc_id < 400 else set()
+    assert len(hot) == 3 and max(size.values()) < 1.15 * min(size.values())
+
+
+def test_one_id_for_all_rows_is_spread(spark):
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(300)] + [(1, "same")] * 300, "doc_id long, text string")
+    rows = sharding.sharded(docs).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 600 and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
 def test_shard_edges(spark):
