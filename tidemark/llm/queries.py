@@ -164,6 +164,33 @@ def op9_suffix_dedup(spark, sf_dir):
     return suffixdedup.deduplicated(table(spark, sf_dir, "documents")).drop("spans")
 
 
+SQL["op9_suffix_dedup"] = r"""
+WITH hexed AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (
+  SELECT r, unnest(range(0, octet_length(from_hex(h)) - 199)) AS i FROM hexed),
+strings AS (
+  SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS s FROM starts JOIN hexed USING (r)),
+again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS n FROM strings) WHERE n > 1),
+marked AS (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM again),
+spans AS (
+  SELECT r, min(i) AS a, max(i) + 200 AS b
+  FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM marked) GROUP BY r, span),
+kept AS (
+  SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT r, max(b), NULL FROM spans GROUP BY r),
+cut AS (
+  SELECT r, string_agg(substr(h, 2 * a + 1, CASE WHEN b IS NULL THEN length(h) ELSE 2 * (b - a) END), '' ORDER BY a) AS rest
+  FROM kept JOIN hexed USING (r) GROUP BY r),
+sums AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(from_hex(coalesce(rest, h))) AS kept_sha256
+FROM hexed LEFT JOIN sums USING (r) LEFT JOIN cut USING (r)
+"""
+
+
 #: A parameter: any file of the tokenizers library whose pre-tokenizer cuts at ASCII white space.
 TOKENIZER = "word_bpe_49k.json"
 
