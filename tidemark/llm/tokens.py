@@ -22,8 +22,8 @@ import numpy as np
 from . import textcore as tc
 
 #: Beyond these the caches shed what they have met only once.
-MAX_CACHED_WORDS = 60_000
-MAX_CACHED_PIECES = 30_000
+MAX_CACHED_WORDS = 150_000
+MAX_CACHED_PIECES = 60_000
 
 #: Below this code point a file's pattern is run as explicit classes; no letter there
 #: changes under NFC, and lower-casing is by character.
@@ -93,7 +93,10 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             self.pattern = self._plain_pattern(json.load(f))
         self.symbols = str.maketrans({chr(b): c for b, c in byte_symbols().items()})
-        self.pieces: dict[str, tuple[int, ...]] = {}  # tuples of integers leave the garbage collector's sight
+        # Tuples of integers leave the garbage collector's sight. Pieces met since the dictionary
+        # was last full are in the first one; what is in neither has to be cut again.
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.clear()
 
     @staticmethod
@@ -113,6 +116,10 @@ class WordEncoder:
         return re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{letters}{numbers}{spaces}]+")
 
     def _piece(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece)
+        if ids is not None:
+            self.pieces[piece] = ids
+            return ids
         symbols = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.symbols)
         ids = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(symbols)])
         return ids
@@ -173,7 +180,7 @@ class WordEncoder:
         raw = memoryview(words.data)
         for i in range(0, len(at), MAX_CACHED_PIECES):
             if len(self.pieces) > MAX_CACHED_PIECES:
-                self.pieces.clear()
+                self.older, self.pieces = self.pieces, {}
             part = at[i : i + MAX_CACHED_PIECES]
             found = self._ids_of([bytes(raw[s:e]) for s, e in zip(words.starts[part].tolist(), words.ends[part].tolist())])
             n = np.fromiter(map(len, found), np.int64, len(found))
