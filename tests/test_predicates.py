@@ -115,7 +115,16 @@ AGE = col("age")  # 25, Int32
         (AGE % 0, None),
         (col("score") / 0, None),
         (col("score") % 2, None),
-        (AGE * 2147483647, None),
+        (AGE * 2147483647, 2147483647),
+        (AGE * -2147483647, -2147483648),
+        (AGE + 2147483647, 2147483647),
+        (AGE - 2147483647 - 100, -2147483648),
+        ((AGE - 2147483647 - 100) / -1, 2147483647),
+        (-(AGE - 2147483647 - 100), 2147483647),
+        (call("ABS", AGE - 2147483647 - 100), 2147483647),
+        (call("ABS", col("name")), None),
+        (col("id") * 9223372036854775807 * 3, 9223372036854775807),
+        (col("id") / AGE, 0.04),
         (AGE + 0.5, 25.5),
         (AGE / 2.0, 12.5),
         (-AGE, -25),

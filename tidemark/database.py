@@ -17,7 +17,7 @@ from .sources.store import checkpointed
 from .streaming.live import LiveRegistry
 
 #: A table whose rows have gone through this many changes is cut off from their lineage.
-COMPACT_EVERY = 8
+COMPACT_EVERY = 6
 
 
 class Database:
@@ -127,11 +127,17 @@ class Database:
         added, removed = zset.rows(delta.where("_d > 0")), zset.rows(delta.where("_d < 0").withColumn("_d", -F.col("_d")))
         self.swap({table: after}, {table: [dml.Change(after, added, removed, 0)]})
 
-    def swap(self, after: dict[str, DataFrame], changes: dict[str, list[dml.Change]]) -> None:
-        """Make new snapshots current and tell live queries, once for all tables."""
+    def depth(self, table: str) -> int:
+        """Changes that the plan of a table's rows goes through."""
+        return self._depth[table]
+
+    def swap(self, after: dict[str, DataFrame], changes: dict[str, list[dml.Change]], depth: dict[str, int] | None = None) -> None:
+        """Make new snapshots current and tell live queries, once for all tables.
+
+        ``depth``: of the new snapshots, where a transaction has compacted them itself."""
         before = self.snapshot()
         for name, rows in after.items():
-            self._depth[name] += len(changes.get(name, ()))
+            self._depth[name] = depth[name] if depth else self._depth[name] + len(changes.get(name, ()))
             if self._depth[name] >= COMPACT_EVERY:
                 rows, self._depth[name] = checkpointed(rows), 0
             self._tables[name] = rows
@@ -234,6 +240,7 @@ class Transaction:
         self._begin = db.snapshot()
         self._tables = dict(self._begin)
         self._changes: dict[str, list[dml.Change]] = {}
+        self._depth: dict[str, int] = {}
         self.state = "active"
 
     def _open(self) -> None:
@@ -243,6 +250,9 @@ class Transaction:
     def schema(self, name: str) -> TableSchema:
         return self.db.schema(name)
 
+    def snapshot(self) -> _Snapshot:
+        return _Snapshot(self._tables)
+
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
             raise TableNotFound(name)
@@ -250,7 +260,11 @@ class Transaction:
 
     def apply(self, table: str, change: dml.Change) -> int:
         self._open()
-        self._tables[table] = change.after
+        rows = change.after
+        self._depth[table] = self._depth.get(table, self.db.depth(table)) + 1
+        if self._depth[table] >= COMPACT_EVERY:
+            rows, self._depth[table] = checkpointed(rows), 0
+        self._tables[table] = rows
         self._changes.setdefault(table, []).append(change)
         return change.count
 
@@ -279,7 +293,7 @@ class Transaction:
             if name not in current or current[name] is not self._begin[name]:
                 raise EngineError(f"{name} was changed by another transaction")
         self.state = "committed"
-        self.db.swap({n: self._tables[n] for n in self._changes}, self._changes)
+        self.db.swap({n: self._tables[n] for n in self._changes}, self._changes, self._depth)
 
     def rollback(self) -> None:
         self._open()

@@ -3,6 +3,7 @@
 A root field is a filter, a sort and a limit. Relations nest without a query for each
 row: a forward relation is one left join, a reverse relation one aggregation of child
 rows by their foreign key, with limits applied to each parent's children by a window.
+Where the rows above are not a whole table, only the rows that their keys lead to are read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from ..functions import jsonb, jsonpath
 from ..operators import dml
 from ..plans.expr import Expr, Raw, col
 from ..schema import TableSchema, coerce
+from ..sources.store import checkpointed
+from ..streaming.live import SnapshotQuery
 from .catalog import Catalog, Relation, type_name
 from .document import Directive, Enum, Operation, Selection, Variable, parse
 
@@ -187,9 +190,13 @@ class Runner:
         rows, test = self.tables[table], condition(schema, arguments.get("where"))
         return rows if test is None else rows.where(test.column(dml.scope_of(schema)))
 
-    def page(self, table: str, arguments: dict) -> DataFrame:
+    def page(self, table: str, arguments: dict, ordered: bool = True) -> DataFrame:
+        """The rows of a page; without limit and offset they are only sorted if wanted."""
         rows = self.filtered(table, arguments)
-        rows = rows.orderBy(*by) if (by := orders(self.catalog.schemas[table], arguments.get("orderBy"))) else rows
+        paged = arguments.get("limit") is not None or bool(arguments.get("offset"))
+        by = orders(self.catalog.schemas[table], arguments.get("orderBy"))
+        if by and (paged or ordered):
+            rows = rows.orderBy(*by)
         if arguments.get("offset"):
             rows = rows.offset(arguments["offset"])
         return rows if arguments.get("limit") is None else rows.limit(arguments["limit"])
@@ -197,20 +204,25 @@ class Runner:
     def root(self, kind: str, table: str, s: Selection) -> DataFrame:
         """The rows of a root field as one struct column ``value``, in order."""
         schema = self.catalog.schemas[table]
+        related = any(x.name in self.catalog.relations[table] for x in s.selections)
         if kind == "one":
             _known(s.arguments, "pk")
             pk = s.arguments.get("pk") or {}
             if set(pk) != set(schema.primary_key):
                 raise GraphQLError(f"pk needs {', '.join(schema.primary_key)}")
             rows = self.filtered(table, {"where": {k: {"eq": v} for k, v in pk.items()}})
-            return self.rendered(table, rows, s.selections).select("value")
+            return self.rendered(table, rows, s.selections, True).select("value")
         _known(s.arguments, *PAGE)
-        out = self.rendered(table, self.page(table, s.arguments), s.selections)
-        by = orders(schema, s.arguments.get("orderBy"))
-        return out.orderBy(*by).select("value") if by else out.select("value")
-
-    def rendered(self, table: str, rows: DataFrame, selections: list[Selection]) -> DataFrame:
-        """rows with a struct column ``value`` of what is selected."""
+        rows, by = self.page(table, s.arguments, ordered=not related), orders(schema, s.arguments.get("orderBy"))
+        if related and (s.arguments.get("limit") is not None or s.arguments.get("offset")):
+            rows = checkpointed(rows)  # relations read the page again and must find the same rows
+        some = any(s.arguments.get(k) is not None for k in ("where", "limit", "offset"))
+        out = self.rendered(table, rows, s.selections, some)
+        return out.orderBy(*by).select("value") if by and related else out.select("value")
+
+    def rendered(self, table: str, rows: DataFrame, selections: list[Selection], some: bool = False) -> DataFrame:
+        """rows with a struct column ``value`` of what is selected. ``some``: the rows are not
+        the whole table, so relations are read for their keys alone."""
         if not selections:
             raise GraphQLError(f"{table} needs a selection")
         schema, parts = self.catalog.schemas[table], []
@@ -223,35 +235,51 @@ class Runner:
                 parts.append(F.col(f"`{s.name}`").alias(s.key))
             elif s.name in self.catalog.relations[table]:
                 relation = self.catalog.relations[table][s.name]
-                rows = self.forward(rows, relation, s, n) if relation.forward else self.reverse(rows, relation, s, n)
+                related = self.forward if relation.forward else self.reverse
+                keys = rows.select(F.col(f"`{relation.own_column}`").alias("wanted")).distinct() if some else None
+                rows = related(rows, relation, s, n, keys)
                 parts.append(F.col(f"relation {n}").alias(s.key))
             else:
                 raise GraphQLError(f"{table} has no field {s.name}")
         keep = [F.col(f"`{c}`") for c in schema.names]
         return rows.select(*keep, F.struct(*parts).alias("value"))
 
-    def forward(self, rows: DataFrame, r: Relation, s: Selection, n: int) -> DataFrame:
+    def forward(self, rows: DataFrame, r: Relation, s: Selection, n: int, keys: DataFrame | None) -> DataFrame:
         _known(s.arguments)
-        parents = self.rendered(r.table, self.tables[r.table], s.selections)
+        parents = self.rendered(r.table, _with_keys(self.tables[r.table], r, keys), s.selections, keys is not None)
         parents = parents.select(F.col(f"`{r.other_column}`").alias(f"parent {n}"), F.col("value").alias(f"relation {n}"))
         return rows.join(parents, F.col(f"`{r.own_column}`") == F.col(f"parent {n}"), "left")
 
-    def reverse(self, rows: DataFrame, r: Relation, s: Selection, n: int) -> DataFrame:
+    def reverse(self, rows: DataFrame, r: Relation, s: Selection, n: int, keys: DataFrame | None) -> DataFrame:
         _known(s.arguments, *PAGE)
         limit, offset = s.arguments.get("limit"), s.arguments.get("offset") or 0
-        by = orders(self.catalog.schemas[r.table], s.arguments.get("orderBy")) or [F.lit(1)]
-        children = self.rendered(r.table, self.filtered(r.table, s.arguments), s.selections)
-        place = F.row_number().over(Window.partitionBy(f"`{r.other_column}`").orderBy(*by))
-        children = children.withColumn("place", place).where(F.col("place") > offset)
-        if limit is not None:
-            children = children.where(F.col("place") <= offset + limit)
-        lists = children.groupBy(F.col(f"`{r.other_column}`").alias(f"child {n}")).agg(F.array_sort(F.collect_list(F.struct("place", "value")), lambda a, b: a["place"] - b["place"]).alias("list"))
-        lists = lists.select(f"`child {n}`", F.transform("list", lambda x: x["value"]).alias(f"relation {n}"))
+        schema = self.catalog.schemas[r.table]
+        found = _with_keys(self.filtered(r.table, s.arguments), r, keys)
+        children = self.rendered(r.table, found, s.selections, keys is not None)
+        child = F.col(f"`{r.other_column}`").alias(f"child {n}")
+        if s.arguments.get("orderBy") or offset or limit is not None:
+            by = orders(schema, s.arguments.get("orderBy")) or [F.lit(1)]
+            place = F.row_number().over(Window.partitionBy(f"`{r.other_column}`").orderBy(*by))
+            children = children.withColumn("place", place).where(F.col("place") > offset)
+            if limit is not None:
+                children = children.where(F.col("place") <= offset + limit)
+            lists = children.groupBy(child).agg(F.array_sort(F.collect_list(F.struct("place", "value")), lambda a, b: a["place"] - b["place"]).alias("list"))
+            lists = lists.select(f"`child {n}`", F.transform("list", lambda x: x["value"]).alias(f"relation {n}"))
+        else:
+            key = F.struct(*[F.col(f"`{k}`") for k in schema.primary_key] or [F.lit(1)])
+            lists = children.groupBy(child).agg(F.collect_list(F.struct(key.alias("key"), "value")).alias("list"))
+            in_order = F.array_sort("list", lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+            lists = lists.select(f"`child {n}`", F.transform(in_order, lambda x: x["value"]).alias(f"relation {n}"))
         joined = rows.join(lists, F.col(f"`{r.own_column}`") == F.col(f"child {n}"), "left")
         empty = F.array().cast(lists.schema[f"relation {n}"].dataType)
         return joined.withColumn(f"relation {n}", F.coalesce(f"relation {n}", empty))
 
 
+def _with_keys(rows: DataFrame, r: Relation, keys: DataFrame | None) -> DataFrame:
+    """The rows of a relation's other side that one of the keys leads to."""
+    return rows if keys is None else rows.join(keys, F.col(f"`{r.other_column}`") == F.col("wanted"), "left_semi")
+
+
 class PreparedDocument:
     """A parsed document; variables are bound and rows read at each call."""
 
@@ -287,22 +315,26 @@ class PreparedDocument:
 
 
 def run(db, bound: Bound) -> dict:
+    """The response's data. The fields of a mutation are one transaction: all or none."""
     catalog, out = Catalog(db.schemas()), {}
+    tx = db.transaction() if bound.kind == "mutation" else None
     for s in bound.selections:
         if s.name == "__typename":
             out[s.key] = bound.kind.capitalize()
             continue
         kind, table = catalog.root(bound.kind, s.name)
-        if bound.kind == "mutation":
-            out[s.key] = _mutate(db, catalog, kind, table, s)
+        if tx is not None:
+            out[s.key] = _mutate(tx, catalog, kind, table, s)
             continue
         rows = [r.value.asDict(recursive=True) for r in Runner(catalog, db.snapshot()).root(kind, table, s).collect()]
         out[s.key] = (rows[0] if rows else None) if kind == "one" else rows
+    if tx is not None:
+        tx.commit()
     return out
 
 
 def _mutate(db, catalog: Catalog, verb: str, table: str, s: Selection) -> list[dict]:
-    """Apply a mutation; returns the rows it wrote, or the rows it deleted."""
+    """Apply a mutation to a transaction; returns the rows it wrote, or the rows it deleted."""
     schema, current = db.schema(table), db.table(table)
     before = db.snapshot()
     if verb == "insert":
@@ -322,33 +354,66 @@ def _mutate(db, catalog: Catalog, verb: str, table: str, s: Selection) -> list[d
     rows = change.removed if verb == "delete" else change.added
     tables = before if verb == "delete" else db.snapshot()
     by = orders(schema, s.arguments.get("orderBy"))
-    shown = Runner(catalog, tables).rendered(table, rows, s.selections)
+    shown = Runner(catalog, tables).rendered(table, rows, s.selections, True)
     return [r.value.asDict(recursive=True) for r in (shown.orderBy(*by) if by else shown).collect()]
 
 
 class Subscription:
-    """A live root field; tells the whole response when it differs."""
+    """A live root field; tells the whole response when it differs.
+
+    A collection without relations, order and page is patched from the delta of a change;
+    any other is evaluated again. Without subscribers it catches up when it is read."""
 
     def __init__(self, db, bound: Bound):
         self.db, self.bound = db, bound
         self.callbacks: list[Callable] = []
-        catalog = Catalog(db.schemas())
-        self.tables = _tables(catalog, catalog.root("subscription", bound.selections[0].name)[1], bound.selections[0])
+        self.stale = False
+        catalog, (s,) = Catalog(db.schemas()), bound.selections
+        kind, table = catalog.root("subscription", s.name)
+        self.tables = _tables(catalog, table, s)
         self.plan = self  # the registry asks a query's plan for its tables
-        self.result = {"data": run(db, bound)}
+        self.rows = None
+        if kind != "one" and len(self.tables) == 1 and not any(s.arguments.get(k) is not None for k in ("orderBy", "limit", "offset")):
+            self.rows = self._live_rows(catalog.schemas[table], s)
+        self.result = self._now()
         db.live.queries.append(self)
 
+    def _live_rows(self, schema: TableSchema, s: Selection) -> SnapshotQuery:
+        query, test = self.db.select("*").from_(schema.name), condition(schema, s.arguments.get("where"))
+        return SnapshotQuery(self.db.live, (query if test is None else query.where(test)).plan(), False)
+
+    def _now(self) -> dict:
+        if self.rows is None:
+            return {"data": run(self.db, self.bound)}
+        (s,) = self.bound.selections
+        table = next(iter(self.tables))
+        names = {x.key: x.name for x in s.selections}
+        keys = self.db.schema(table).primary_key
+        rows = sorted(self.rows.rows, key=lambda r: [(r[k] is not None, r[k]) for k in keys])
+        return {"data": {s.key: [{k: type_name(table) if n == "__typename" else r[n] for k, n in names.items()} for r in rows]}}
+
     def changed(self, before, after, deltas) -> None:
-        now = {"data": run(self.db, self.bound)}
+        if self.rows is not None and not self.rows._patched(before, after, deltas):
+            return
+        now = self._now()
         if now != self.result:
             self.result = now
             for callback in list(self.callbacks):
                 callback(now)
 
+    def _fresh(self) -> None:
+        if self.stale:
+            self.stale = False
+            if self.rows is not None:
+                self.rows._start(self.db.snapshot())
+            self.result = self._now()
+
     def get_result(self) -> dict:
+        self._fresh()
         return self.result
 
     def subscribe(self, callback: Callable) -> Callable[[], None]:
+        self._fresh()
         self.callbacks.append(callback)
         return lambda: self.callbacks.remove(callback) if callback in self.callbacks else None
 

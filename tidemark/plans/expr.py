@@ -274,7 +274,7 @@ class Negation(Expr):
         c, kind = self.operand.compile(scope)
         if kind not in scalar.NUMBERS:
             return F.lit(None).cast("double"), "double"
-        return scalar.negate(c), kind
+        return scalar.negate(c, kind), kind
 
 
 @dataclass(frozen=True, eq=False)
@@ -284,12 +284,14 @@ class Call(Expr):
 
     def compile(self, scope):
         if self.name.upper().startswith("JSONB_"):
+            test = {"JSONB_PATH_EQ": "equals", "JSONB_CONTAINS": "contains", "JSONB_EXISTS": "exists"}.get(self.name.upper())
+            if test is None:
+                raise ValueError(f"unknown function {self.name}")
             doc, path, *value = self.args
-            test = {"JSONB_PATH_EQ": "equals", "JSONB_CONTAINS": "contains", "JSONB_EXISTS": "exists"}[self.name.upper()]
             return JsonTest(test, JsonPath(doc, path.value), tuple(v.value for v in value)).compile(scope)
         make, kind = scalar.function(self.name)
-        compiled = [a.compile(scope) for a in self.args]
-        return make(*[c for c, _ in compiled]), kind([k for _, k in compiled])
+        columns, kinds = zip(*[a.compile(scope) for a in self.args]) if self.args else ((), ())
+        return make(list(columns), list(kinds)), kind(list(kinds))
 
 
 @dataclass(frozen=True)

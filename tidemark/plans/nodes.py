@@ -103,18 +103,20 @@ class Join(Node):
         return left.join(right, self.on(), self.kind)
 
     def equal_names(self) -> tuple[str, str] | None:
-        """The columns of a bare equality between both sides."""
-        from .expr import Comparison, Name
-
-        c = self.condition
-        if not (isinstance(c, Comparison) and c.op == "=" and isinstance(c.left, Name) and isinstance(c.right, Name)):
-            return None
-        scope = self.scope.preferring(self.current)
-        a, b = scope.find(c.left.name).full, scope.find(c.right.name).full
-        left = self.left.scope.by_full
-        if (a in left) == (b in left):
-            return None
-        return (a, b) if a in left else (b, a)
+        """The columns of an equality between both sides, bare or joined to others by AND."""
+        from .expr import Comparison, Logic, Name
+
+        scope, left = self.scope.preferring(self.current), self.left.scope.by_full
+        todo = [self.condition]
+        while todo:
+            c = todo.pop(0)
+            if isinstance(c, Logic) and c.op == "and":
+                todo += [c.left, c.right]
+            if isinstance(c, Comparison) and c.op == "=" and isinstance(c.left, Name) and isinstance(c.right, Name):
+                a, b = scope.find(c.left.name).full, scope.find(c.right.name).full
+                if (a in left) != (b in left):
+                    return (a, b) if a in left else (b, a)
+        return None
 
 
 @dataclass(frozen=True, eq=False)

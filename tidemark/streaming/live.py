@@ -1,8 +1,14 @@
 """Live queries: results that follow changes of their tables.
 
-A snapshot query runs again and reports the whole result when it differs; a delta query
-keeps a materialized Z-set and reports what was added and removed. Both are told once
-for each mutation or committed transaction.
+A snapshot query reports the whole result when it differs; a delta query keeps a
+materialized Z-set and reports what was added and removed. Both are told once for each
+mutation or committed transaction. A query nobody has subscribed to is only marked: it
+catches up when it is read or subscribed to.
+
+What a change costs: a delta query works on the delta and on what it touches, and logs
+the outcome; the log is merged into the view every MERGE_EVERY changes. A snapshot query
+of filters and projections alone patches its rows from the delta; any other runs again,
+and Spark compares the count and a hash of the result before any row comes to the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +27,9 @@ from . import zset
 if TYPE_CHECKING:
     from ..database import Database
 
+#: Changes of a view that are logged before they are merged into it.
+MERGE_EVERY = 16
+
 
 def _dicts(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
@@ -30,9 +39,11 @@ class LiveQuery:
     def __init__(self, registry: LiveRegistry, plan: nodes.Node):
         self.registry, self.plan = registry, plan
         self.callbacks: list[Callable] = []
+        self.stale = False
 
     def subscribe(self, callback: Callable) -> Callable[[], None]:
         """Calls back on changes; returns the function that ends it."""
+        self._fresh()
         self.callbacks.append(callback)
 
         def unsubscribe():
@@ -49,27 +60,48 @@ class LiveQuery:
         if self in self.registry.queries:
             self.registry.queries.remove(self)
 
+    def _fresh(self) -> None:
+        """Catch up with changes that came while nobody listened."""
+        if self.stale:
+            self.stale = False
+            self._start(self.registry.db.snapshot())
+
+    def _start(self, tables) -> None:
+        """Evaluate from the tables as they are."""
+        raise NotImplementedError
+
     def _tell(self, value) -> None:
         for callback in list(self.callbacks):
             callback(value)
 
 
+def is_row_local(plan: nodes.Node) -> bool:
+    """Whether each row of the result follows from one row of one table."""
+    return isinstance(plan, nodes.Scan) or isinstance(plan, (nodes.Filter, nodes.Project)) and is_row_local(plan.input)
+
+
+def _summary(frame: DataFrame) -> tuple:
+    """Count and hash of a result; sorted results with the same rows have the same order but for ties."""
+    return tuple(frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in frame.columns]).cast("decimal(38,0)"))).first())
+
+
 class SnapshotQuery(LiveQuery):
     def __init__(self, registry, plan, initial: bool):
         super().__init__(registry, plan)
-        self.initial = initial
-        self._run(registry.db.snapshot())
+        self.initial, self.local = initial, is_row_local(plan)
+        self._start(registry.db.snapshot())
 
-    def _run(self, tables) -> bool:
-        """Evaluate again; whether the result differs, order included where the plan sorts."""
+    def _start(self, tables) -> None:
         frame = self.plan.frame(tables)
-        rows = _dicts(frame)
-        ordered = _sorted(self.plan)
-        mark = rows if ordered else sorted(rows, key=repr)
-        changed = not hasattr(self, "mark") or mark != self.mark
-        if changed:
-            self.rows, self.mark = rows, mark
-        return changed
+        self.mark = None if self.local else _summary(frame)
+        self._hold(_dicts(frame))
+
+    def _hold(self, rows: list[dict]) -> None:
+        self.rows = rows
+        if self.local:  # equal rows together, so that a patch finds them
+            self.bag: dict[str, list[dict]] = {}
+            for r in rows:
+                self.bag.setdefault(repr(r), []).append(r)
 
     def subscribe(self, callback):
         end = super().subscribe(callback)
@@ -77,36 +109,64 @@ class SnapshotQuery(LiveQuery):
             callback(self.rows)
         return end
 
+    def _patched(self, before, after, deltas) -> bool:
+        change = zset.delta(self.plan, before, after, deltas)
+        moved = _dicts(zset.consolidate(change)) if change is not None else []
+        for r in sorted(moved, key=lambda r: r[zset.D]):
+            n = r.pop(zset.D)
+            own = self.bag.setdefault(repr(r), [])
+            if n < 0:
+                del own[n:]
+            else:
+                own += [r] * n
+            if not own:
+                del self.bag[repr(r)]
+        if moved:
+            self.rows = [r for own in self.bag.values() for r in own]
+        return bool(moved)
+
     def changed(self, before, after, deltas) -> None:
-        if self._run(after):
+        if self.local:
+            told = self._patched(before, after, deltas)
+        else:
+            frame = self.plan.frame(after)
+            mark = _summary(frame)
+            told = mark != self.mark
+            if told:
+                self.mark = mark
+                self._hold(_dicts(frame))
+        if told:
             self._tell(self.rows)
 
     def get_result(self) -> list[dict]:
+        self._fresh()
         return self.rows
 
     def __len__(self) -> int:
+        self._fresh()
         return len(self.rows)
 
 
-def _sorted(plan: nodes.Node) -> bool:
-    return isinstance(plan, nodes.Sort) or isinstance(plan, (nodes.Limit, nodes.Project)) and _sorted(plan.input)
-
-
 class DeltaQuery(LiveQuery):
-    """The view is a Z-set that only its own changes update; it starts from the tables as
-    they are, so rows from before the subscription join and count like later ones."""
+    """The view is a Z-set, the rows of one time and a log of changes since, that only its
+    own changes update; it starts from the tables as they are, so rows from before the
+    subscription join and count like later ones."""
 
     def __init__(self, registry, plan):
         if not zset.is_incremental(plan):
             raise NotIncremental("sort and limit have no delta rule; use changes()")
         super().__init__(registry, plan)
-        tables = registry.db.snapshot()
-        self.view = checkpointed(zset.consolidate(zset.weighted(plan.frame(tables))))
-        # Grouped counts and whole-number sums follow from deltas alone, without the tables.
+        self._start(registry.db.snapshot())
+
+    def _start(self, tables) -> None:
+        self.log: list[DataFrame] = []
+        # Counts and whole-number sums follow from deltas alone, without the tables.
         self.linear = None
-        if isinstance(plan, nodes.Aggregate) and zset.LinearAggregate.is_exact(plan):
-            self.linear = zset.LinearAggregate(plan, tables)
+        if isinstance(self.plan, nodes.Aggregate) and zset.LinearAggregate.is_exact(self.plan):
+            self.linear = zset.LinearAggregate(self.plan, tables)
             self.linear.state = checkpointed(self.linear.state)
+            return
+        self.view = checkpointed(zset.weighted(self.plan.frame(tables)))
 
     def _change(self, before, after, deltas):
         if self.linear is None:
@@ -114,33 +174,45 @@ class DeltaQuery(LiveQuery):
         change = zset.delta(self.plan.input, before, after, deltas)
         if change is None:
             return None
-        old = self.linear.touched(change)
-        self.linear.apply(change)
+        made = checkpointed(self.linear.apply(change))
         self.linear.state = checkpointed(self.linear.state)
-        return zset.difference(self.linear.touched(change), old)
+        return made
 
     def changed(self, before, after, deltas) -> None:
         change = self._change(before, after, deltas)
         if change is None:
             return
-        change = checkpointed(zset.consolidate(change))
+        change = checkpointed(zset.consolidate(change)) if self.linear is None else change
         if change.isEmpty():
             return
-        self.view = checkpointed(zset.consolidate(self.view.union(change)))
-        if self.callbacks:
-            added = _dicts(zset.rows(change.where("_d > 0")))
-            removed = _dicts(zset.rows(change.where("_d < 0").withColumn("_d", -F.col("_d"))))
-            if added or removed:
-                self._tell({"added": added, "removed": removed})
+        if self.linear is None:
+            self.log.append(change)
+            if len(self.log) >= MERGE_EVERY:
+                self.view, self.log = checkpointed(zset.consolidate(self._parts())), []
+        added = _dicts(zset.rows(change.where("_d > 0")))
+        removed = _dicts(zset.rows(change.where("_d < 0").withColumn("_d", -F.col("_d"))))
+        if added or removed:
+            self._tell({"added": added, "removed": removed})
+
+    def _parts(self) -> DataFrame:
+        out = self.view
+        for change in self.log:
+            out = out.union(change)
+        return out
 
     def frame(self) -> DataFrame:
-        return zset.rows(self.view)
+        self._fresh()
+        if self.linear is not None:
+            return self.linear.frame()
+        return zset.rows(zset.consolidate(self._parts()) if self.log else self.view)
 
     def get_result(self) -> list[dict]:
         return _dicts(self.frame())
 
     def __len__(self) -> int:
-        return self.view.agg(F.coalesce(F.sum("_d"), F.lit(0))).first()[0]
+        if self.linear is not None or self.stale:
+            return self.frame().count()
+        return self._parts().agg(F.coalesce(F.sum("_d"), F.lit(0))).first()[0]
 
 
 class LiveRegistry:
@@ -161,7 +233,10 @@ class LiveRegistry:
 
     def publish(self, before, after, changes) -> None:
         """Tell the queries of the changed tables; deltas go before snapshots."""
-        wanted = [q for q in self.queries if q.plan.tables & set(changes)]
+        touched = [q for q in self.queries if q.plan.tables & set(changes)]
+        wanted = [q for q in touched if q.callbacks and not q.stale]
+        for q in touched:
+            q.stale = q.stale or q not in wanted
         if not wanted:
             return
         deltas = {}

@@ -3,7 +3,8 @@
 ``delta(plan, before, after, deltas)`` is the change of a plan's result for a change of
 its tables: what it adds has positive, what it loses negative multiplicity. Linear
 operators work on the delta alone; joins meet it with the other side; outer joins and
-aggregates look again at the keys and groups it touches, before and after.
+aggregates look again at the keys and groups it touches, before and after. Sides and
+groups are found by joins with the delta's keys, which are broadcast while they are few.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import NotIncremental
+from ..functions.scalar import BOUNDS
 from ..plans import nodes
 
 D = "_d"
@@ -89,7 +91,7 @@ def _join(plan: nodes.Join, before, after, deltas) -> DataFrame:
         return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     key = plan.equal_names()
     if key is None:
-        return difference(plan.frame(after), plan.frame(before))
+        return _theta_join(plan, left, right, before, after)
     touched = [z.select(F.col(f"`{k}`").alias("k")) for z, k in ((left, key[0]), (right, key[1])) if z is not None]
     keys = touched[0] if len(touched) == 1 else touched[0].union(touched[1])
 
@@ -100,6 +102,43 @@ def _join(plan: nodes.Join, before, after, deltas) -> DataFrame:
     return difference(side(after), side(before))
 
 
+def _theta_join(plan: nodes.Join, left, right, before, after) -> DataFrame:
+    """An outer join without an equality: what each row of an outer side joins depends on
+    that row and the other side alone, so only rows that changed, or that the other side's
+    changed rows meet, are joined again."""
+    condition = plan.on()
+
+    def touched(node, own, other):
+        """Distinct rows of a side to look at again."""
+        names = [f.full for f in node.scope.fields]
+        found = [own.select(*_cols(names))] if own is not None else []
+        if other is not None:
+            changed = other.drop(D)
+            found += [node.frame(tables).join(changed, condition, "left_semi") for tables in (before, after)]
+        return names, (found[0] if len(found) == 1 else found[0].unionByName(found[1]) if len(found) == 2 else found[0].unionByName(found[1]).unionByName(found[2])).distinct()
+
+    names = [f.full for f in plan.scope.fields]
+    parts = []
+    if plan.kind in ("left", "full"):
+        own, rows_ = touched(plan.left, left, right)
+        pairs = [(n, n) for n in own]
+        parts += [weighted(_semi(plan.left.frame(t), rows_, pairs).join(plan.right.frame(t), condition, "left").select(*_cols(names)), w) for t, w in ((after, 1), (before, -1))]
+    if plan.kind in ("right", "full"):
+        own, rows_ = touched(plan.right, right, left)
+        pairs = [(n, n) for n in own]
+        for t, w in ((after, 1), (before, -1)):
+            side = _semi(plan.right.frame(t), rows_, pairs)
+            if plan.kind == "right":
+                joined = plan.left.frame(t).join(side, condition, "right")
+            else:  # the pairs are there already; what is left are rows that meet none
+                joined = side.join(plan.left.frame(t), condition, "left_anti").select(*[F.lit(None).cast(f.spark_type).alias(f.full) if f.full in plan.left.scope.by_full else F.col(f"`{f.full}`") for f in plan.scope.fields])
+            parts.append(weighted(joined.select(*_cols(names)), w))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return consolidate(out)
+
+
 def _aggregate(plan: nodes.Aggregate, before, after, deltas) -> DataFrame:
     if not plan.keys:
         return difference(plan.frame(after), plan.frame(before))
@@ -129,9 +168,10 @@ def _union(plan: nodes.Union, before, after, deltas) -> DataFrame:
 
 
 class LinearAggregate:
-    """COUNT, SUM and AVG by group, kept from deltas alone: the cost of a change does not
-    depend on the table. State: the keys, ``n`` rows, and for each argument its non-NULL
-    count and sum."""
+    """COUNT, SUM and AVG, by group or of all rows, kept from deltas alone: the cost of a
+    change does not depend on the table. State: the keys, ``n`` rows, and for each argument
+    its non-NULL count and sum; sums of whole numbers are kept as decimals, so they neither
+    overflow nor drift."""
 
     FUNCTIONS = ("count", "sum", "avg")
 
@@ -139,42 +179,56 @@ class LinearAggregate:
     def is_exact(cls, plan: nodes.Aggregate) -> bool:
         """Whether the kept sums are exact: whole numbers only, as sums of doubles drift."""
         whole = all(func == "count" or f.spark_type in ("int", "bigint") for func, f, _ in plan.calls)
-        return bool(plan.keys and plan.calls) and whole and all(func in cls.FUNCTIONS for func, _, _ in plan.calls)
+        return bool(plan.calls) and whole and all(func in cls.FUNCTIONS for func, _, _ in plan.calls)
 
     def __init__(self, plan: nodes.Aggregate, tables: nodes.Tables):
-        if any(func not in self.FUNCTIONS for func, _, _ in plan.calls) or not plan.keys:
-            raise NotIncremental("only grouped COUNT, SUM and AVG are linear")
+        if any(func not in self.FUNCTIONS for func, _, _ in plan.calls):
+            raise NotIncremental("only COUNT, SUM and AVG are linear")
         self.plan = plan
         self.arguments = list(dict.fromkeys(f for _, f, _ in plan.calls if f is not None))
         self.state = self._sums(weighted(plan.input.frame(tables)))
 
     def _sums(self, z: DataFrame) -> DataFrame:
-        d, made = F.col(D), [F.sum(D).alias("n")]
+        d, made = F.col(D), [F.coalesce(F.sum(D), F.lit(0)).alias("n")]
         for i, f in enumerate(self.arguments):
             made.append(F.coalesce(F.sum(F.when(f.column.isNotNull(), d)), F.lit(0)).alias(f"n{i}"))
-            number = f.spark_type in ("int", "bigint", "double", "float")
-            made.append((F.coalesce(F.sum(f.column * d), F.lit(0)) if number else F.lit(0)).cast("double" if f.spark_type in ("double", "float") else "bigint").alias(f"s{i}"))
+            if f.spark_type in ("double", "float"):
+                made.append(F.coalesce(F.sum(f.column * d), F.lit(0.0)).alias(f"s{i}"))
+            else:
+                whole = f.column if f.spark_type in ("int", "bigint") else F.lit(0)
+                made.append(F.coalesce(F.sum(whole.cast("decimal(19,0)") * d.cast("decimal(19,0)")), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}"))
         return z.groupBy(*[f.column.alias(name) for f, name in self.plan.keys]).agg(*made)
 
-    def apply(self, change: DataFrame) -> None:
-        """Take in a Z-set of the input."""
-        merged = self.state.unionByName(self._sums(change))
-        keys = [F.col(f"`{name}`") for _, name in self.plan.keys]
-        sums = [c for c in self.state.columns if c not in {name for _, name in self.plan.keys}]
-        self.state = merged.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).where("n <> 0")
-
-    def touched(self, change: DataFrame) -> DataFrame:
-        """The current rows of the groups that a Z-set of the input belongs to."""
-        return _semi(self.frame(), change, [(name, f.full) for f, name in self.plan.keys])
+    def _merged(self, sums: DataFrame) -> DataFrame:
+        keys = [name for _, name in self.plan.keys]
+        added = [F.sum(c).cast(sums.schema[c].dataType).alias(c) for c in sums.columns if c not in keys]
+        out = sums.groupBy(*_cols(keys)).agg(*added)
+        return out.where("n <> 0") if keys else out
+
+    def apply(self, change: DataFrame) -> DataFrame:
+        """Take in a Z-set of the input; returns what it changes in the result, from the
+        touched groups of the state alone."""
+        sums = self._sums(change)
+        old = self.state
+        if self.plan.keys:
+            old = _semi(self.state, sums, [(name, name) for _, name in self.plan.keys])
+        new = self._merged(old.unionByName(sums))
+        self.state = self._merged(self.state.unionByName(sums))
+        return difference(self._result(new), self._result(old))
 
     def frame(self) -> DataFrame:
-        out = [F.col(f"`{name}`") for _, name in self.plan.keys]
+        return self._result(self.state)
+
+    def _result(self, state: DataFrame) -> DataFrame:
+        out = _cols([name for _, name in self.plan.keys])
         for func, f, name in self.plan.calls:
             i = self.arguments.index(f) if f is not None else None
             if func == "count":
                 out.append(F.col("n" if i is None else f"n{i}").alias(name))
             elif func == "sum":
-                out.append(F.col(f"s{i}").alias(name))
+                kind = state.schema[f"s{i}"].dataType.simpleString()
+                low, high = (F.lit(b).cast("decimal(38,0)") for b in BOUNDS["bigint"])
+                out.append((F.col(f"s{i}") if kind == "double" else F.least(F.greatest(F.col(f"s{i}"), low), high).cast("bigint")).alias(name))
             else:
                 out.append(F.try_divide(F.col(f"s{i}").cast("double"), F.col(f"n{i}").cast("double")).alias(name))
-        return self.state.select(*out)
+        return state.select(*out)
