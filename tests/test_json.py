@@ -85,6 +85,25 @@ OPS = [
     (lambda c: jsonb.delete_index(c, 5), "[1]", "[1]"),
     (lambda c: jsonb.delete_index(c, 0), "[1,2]", "[2]"),
     (lambda c: jsonb.field(c, "a"), "nonsense", None),
+    (lambda c: jsonb.field(c, "a"), '{"a":null}', "null"),
+    (lambda c: jsonb.field(c, "a"), '{"a":2.0}', "2"),
+    (lambda c: jsonb.field(c, "a"), '{"a":2.5}', "2.5"),
+    (lambda c: jsonb.field(c, "a"), '{"a":"x\\"y"}', '"x\\"y"'),
+    (lambda c: jsonb.field(c, "a"), '{"a":NaN}', None),
+    (lambda c: jsonb.field(c, "a"), "[1]", None),
+    (lambda c: jsonb.field(c, "it's ?"), '{"it\'s ?":1}', "1"),
+    (lambda c: jsonb.field_text(c, "a"), '{"a":"x\\"y"}', 'x"y'),
+    (lambda c: jsonb.field_text(c, "a"), '{"a":true}', "true"),
+    (lambda c: jsonb.field_text(c, "a"), '{"a":7.0}', "7"),
+    (lambda c: jsonb.field_text(c, "b"), '{"a":1}', None),
+    (lambda c: jsonb.at_path(c, "a", "b"), '{"a":1}', None),
+    (lambda c: jsonb.has_key(c, "1"), '{"1":null}', True),
+    (lambda c: jsonb.has_key(c, "a"), '"a"', False),
+    (lambda c: jsonb.has_key(c, "it's"), '{"it\'s":1}', True),
+    (lambda c: jsonb.has_any(c), "{}", False),
+    (lambda c: jsonb.has_all(c, "a", "b"), '{"a":1,"b":null}', True),
+    (lambda c: jsonb.contains(c, "1"), "Infinity", None),
+    (lambda c: jsonb.delete_keys(c, "a"), '{"a":1,"a":2}', None),
     (lambda c: jsonb.has_key(c, "a"), None, None),
 ]
 

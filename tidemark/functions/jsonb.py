@@ -1,6 +1,8 @@
 """JSON document operators over JSON text columns.
 
 The result is JSON text with keys in order, NULL where the input is NULL or no JSON.
+Members, paths and key tests are built-in VARIANT extractions; containment, concatenation
+and deletion, which Spark has no functions for, go through Arrow-batched UDFs.
 """
 
 from __future__ import annotations
@@ -11,34 +13,56 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .jsonpath import _same, dump, load
+from .jsonpath import _same, dump, load, simple
+
+
+def _member(v: Column, *steps: str | int) -> Column | None:
+    """What a VARIANT has under names and indexes (NULL if nothing, a JSON null if that), or
+    None for a name that a built-in path cannot hold."""
+    path = simple([("index" if isinstance(s, int) else "field", s) for s in steps])
+    return None if path is None or any("?" in s for s in steps if isinstance(s, str)) else F.try_variant_get(v, path, "variant")
+
+
+def _text(v: Column) -> Column:
+    """JSON text of a VARIANT; a whole number has no fraction."""
+    kind, number = F.schema_of_variant(v), F.try_variant_get(v, "$", "double")
+    whole = (kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")) & (number == F.floor(number)) & (F.abs(number) < 2.0**53)
+    return F.when(whole, number.try_cast("bigint").cast("string")).otherwise(F.to_json(v))
 
 
 def field(c: Column, name: str) -> Column:
     """``->``: a member as JSON text."""
-    return _document(c, lambda v: dump(v[name]) if isinstance(v, dict) and name in v else None)
+    return at_path(c, name)
 
 
 def field_text(c: Column, name: str) -> Column:
     """``->>``: a scalar member as plain text; a JSON null is the text null, composites are NULL."""
+    v = _member(F.try_parse_json(c), name)
+    if v is None:
 
-    def text(v: Any):
-        if not isinstance(v, dict) or name not in v or isinstance(v[name], (dict, list)):
-            return None
-        return v[name] if isinstance(v[name], str) else dump(v[name])
+        def text(x: Any):
+            if not isinstance(x, dict) or name not in x or isinstance(x[name], (dict, list)):
+                return None
+            return x[name] if isinstance(x[name], str) else dump(x[name])
 
-    return _document(c, text)
+        return _document(c, text)
+    kind = F.schema_of_variant(v)
+    composite = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    return F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(~composite, _text(v))
 
 
 def at_path(c: Column, *names: str) -> Column:
     """``#>``: nested members as JSON text."""
+    v = _member(F.try_parse_json(c), *names)
+    if v is not None:
+        return _text(v)
 
-    def walk(v: Any):
+    def walk(x: Any):
         for name in names:
-            if not isinstance(v, dict) or name not in v:
+            if not isinstance(x, dict) or name not in x:
                 return None
-            v = v[name]
-        return dump(v)
+            x = x[name]
+        return dump(x)
 
     return _document(c, walk)
 
@@ -64,20 +88,35 @@ def contained_by(c: Column, other: str | Column) -> Column:
 def _has(v: Any, key: str) -> bool:
     if isinstance(v, dict):
         return key in v
-    return isinstance(v, list) and key.isdigit() and int(key) < len(v)
+    return isinstance(v, list) and key.isascii() and key.isdigit() and int(key) < len(v)
+
+
+def _has_keys(c: Column, keys: tuple[str, ...], every: bool) -> Column:
+    v, found = F.try_parse_json(c), F.lit(every)
+    for key in keys:
+        own = _member(v, key)
+        if own is None or len(key) > 9:
+            return _document(c, lambda x: (all if every else any)(_has(x, k) for k in keys), "boolean")
+        here = own.isNotNull()
+        if key.isascii() and key.isdigit():
+            here = here | _member(v, int(key)).isNotNull()
+        found = found & here if every else found | here
+    return F.when(v.isNotNull(), found)
 
 
 def has_key(c: Column, key: str) -> Column:
     """``?``: a member, or for arrays an index in range."""
-    return _document(c, lambda v: _has(v, key), "boolean")
+    return _has_keys(c, (key,), True)
 
 
 def has_any(c: Column, *keys: str) -> Column:
-    return _document(c, lambda v: any(_has(v, k) for k in keys), "boolean")
+    """``?|``: one of the keys."""
+    return _has_keys(c, keys, False)
 
 
 def has_all(c: Column, *keys: str) -> Column:
-    return _document(c, lambda v: all(_has(v, k) for k in keys), "boolean")
+    """``?&``: all of the keys."""
+    return _has_keys(c, keys, True)
 
 
 def _joined(a: Any, b: Any) -> Any:

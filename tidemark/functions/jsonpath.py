@@ -151,22 +151,28 @@ def evaluate(value: Any, steps: list[tuple]) -> list:
     return found
 
 
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _members(pairs: list[tuple[str, Any]]) -> dict:
+    """An object with its keys in order; like the built-in parser, one without repeated keys."""
+    out = dict(sorted(pairs, key=lambda p: p[0]))
+    if len(out) < len(pairs):
+        raise ValueError("repeated key")
+    return out
+
+
 def load(text: str | None) -> tuple[bool, Any]:
-    """(is JSON, value) with object keys in order."""
+    """(is JSON, value) with object keys in order; what the built-in parser refuses is no JSON here either."""
     if text is None:
         return False, None
     try:
-        return True, _ordered(json.loads(text))
+        return True, json.loads(text, parse_constant=_no_constant, object_pairs_hook=_members)
     except (ValueError, RecursionError):
         return False, None
 
 
-def _ordered(v: Any) -> Any:
-    if isinstance(v, dict):
-        return {k: _ordered(v[k]) for k in sorted(v)}
-    return [_ordered(x) for x in v] if isinstance(v, list) else v
-
-
 def dump(value: Any) -> str:
     if isinstance(value, float) and value.is_integer() and abs(value) < 2**53:
         value = int(value)

@@ -367,7 +367,7 @@ class Subscription:
     def __init__(self, db, bound: Bound):
         self.db, self.bound = db, bound
         self.callbacks: list[Callable] = []
-        self.stale = False
+        self.stale = self.current = False
         catalog, (s,) = Catalog(db.schemas()), bound.selections
         kind, table = catalog.root("subscription", s.name)
         self.tables = _tables(catalog, table, s)

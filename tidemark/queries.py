@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .database import Database
@@ -93,8 +94,8 @@ filtered("filter_between", "orders", "o_orderkey, o_totalprice", col("o_totalpri
 filtered("filter_not_between", "orders", "o_orderkey, o_totalprice", col("o_totalprice").not_between(1000, 400000), "o_totalprice NOT BETWEEN 1000 AND 400000")
 filtered("filter_in", "customer", "c_custkey, c_mktsegment", col("c_mktsegment").in_(["BUILDING", "MACHINERY"]), "c_mktsegment IN ('BUILDING', 'MACHINERY')")
 filtered("filter_not_in", "customer", "c_custkey, c_mktsegment", col("c_mktsegment").not_in(["BUILDING", "MACHINERY"]), "c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
-filtered("filter_like", "part", "p_partkey, p_name", col("p_name").like("%1_"), "p_name LIKE '%1_'")
-filtered("filter_not_like", "part", "p_partkey, p_name", col("p_name").not_like("%1%"), "p_name NOT LIKE '%1%'")
+filtered("filter_like", "part", "p_partkey, p_name", col("p_name").like("_ed%g_t"), "p_name LIKE '_ed%g_t'")
+filtered("filter_not_like", "part", "p_partkey, p_name", col("p_name").not_like("%d _o%"), "p_name NOT LIKE '%d _o%'")
 filtered("filter_regex", "customer", "c_custkey, c_name", col("c_name").match("[0-4]+7$"), "regexp_matches(c_name, '[0-4]+7$')")
 filtered("filter_not_regex", "customer", "c_custkey, c_name", col("c_name").not_match("(1|2).*3"), "NOT regexp_matches(c_name, '(1|2).*3')")
 filtered("filter_and_or_not", "orders", "o_orderkey, o_custkey, o_totalprice", (col("o_totalprice").gt(200000) | col("o_custkey").lt(50)) & ~col("o_orderstatus").eq("O"), "(o_totalprice > 200000 OR o_custkey < 50) AND NOT o_orderstatus = 'O'")
@@ -145,11 +146,20 @@ def join_right(db):
     return db.select("o_orderkey", "c_custkey").from_("orders").right_join("customer", col("o_custkey").eq(col("c_custkey")))
 
 
-@query("SELECT o_orderkey, c_custkey FROM (SELECT * FROM orders WHERE o_custkey % 2 = 0) FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON o_custkey = c_custkey", "orders", "customer")
+@query("SELECT p_partkey, n_name FROM part FULL JOIN nation ON p_size = n_nationkey", "part", "nation")
 def join_full(db):
-    db.register_table(db.table("orders").where("o_custkey % 2 = 0"), "some_orders")
-    db.register_table(db.table("customer").where("c_custkey % 3 = 0"), "some_customers")
-    return db.select("o_orderkey", "c_custkey").from_("some_orders").full_join("some_customers", col("o_custkey").eq(col("c_custkey")))
+    """Sizes and nation keys miss each other on both sides."""
+    return db.select("p_partkey", "n_name").from_("part").full_join("nation", col("p_size").eq(col("n_nationkey")))
+
+
+@query("SELECT n_nationkey, r_regionkey FROM nation LEFT JOIN region ON n_regionkey > r_regionkey", "nation", "region")
+def join_theta_left(db):
+    return db.select("n_nationkey", "r_regionkey").from_("nation").left_join("region", col("n_regionkey").gt(col("r_regionkey")))
+
+
+@query("SELECT r_regionkey, n_nationkey FROM region FULL JOIN nation ON r_regionkey > n_nationkey AND r_regionkey <> n_regionkey", "nation", "region")
+def join_theta_full(db):
+    return db.select("r_regionkey", "n_nationkey").from_("region").full_join("nation", col("r_regionkey").gt(col("n_nationkey")) & col("r_regionkey").ne(col("n_regionkey")))
 
 
 @query("SELECT a.n_nationkey, b.r_regionkey FROM nation a JOIN region b ON NOT a.n_regionkey = b.r_regionkey", "nation", "region")
@@ -194,9 +204,9 @@ def join_multi_condition(db):
     return db.select("o_orderkey", "l_linenumber").from_("orders").inner_join("lineitem", on)
 
 
-@query("SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL", "customer", "orders")
+@query("SELECT p_partkey FROM part LEFT JOIN nation ON p_size = n_nationkey WHERE n_name IS NULL", "part", "nation")
 def join_left_missing_rows(db):
-    return db.select("c_custkey").from_("customer").left_join("orders", col("c_custkey").eq(col("o_custkey"))).where(col("o_orderkey").is_null())
+    return db.select("p_partkey").from_("part").left_join("nation", col("p_size").eq(col("n_nationkey"))).where(col("n_name").is_null())
 
 
 # ---- aggregates
@@ -279,11 +289,16 @@ def offset_only(db):
     return db.select("c_custkey").from_("customer").order_by("c_custkey").offset(1400)
 
 
-@query(f"SELECT * FROM ({SPARSE}) ORDER BY value DESC NULLS LAST, event_id LIMIT 7000", "events")
+def numbered(frame):
+    """Rows with their place in the frame's order."""
+    return frame.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+
+
+@query(f"SELECT *, CAST(row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) AS INT) AS place FROM ({SPARSE})", "events")
 def sort_nulls(db):
     events = db.table("events")
     db.register_table(events.select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("kind")), "sparse")
-    return db.select("*").from_("sparse").order_by("value", "desc").order_by("event_id").limit(7000)
+    return numbered(db.select("*").from_("sparse").order_by("value", "desc").order_by("event_id").frame())
 
 
 # ---- unions
@@ -297,10 +312,10 @@ def union_all(db):
     return db.select("c_nationkey").from_("customer").union_all(db.select("s_nationkey").from_("supplier"))
 
 
-@query("SELECT * FROM (SELECT c_nationkey, c_acctbal FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier) WHERE c_acctbal > 5000 ORDER BY c_acctbal DESC, c_nationkey LIMIT 100", "customer", "supplier")
+@query("SELECT *, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_nationkey) AS INT) AS place FROM (SELECT c_nationkey, c_acctbal FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier) WHERE c_acctbal > 5000", "customer", "supplier")
 def union_then_filter_sort(db):
     q = db.select("c_nationkey", "c_acctbal").from_("customer").union_all(db.select("s_nationkey", "s_acctbal").from_("supplier"))
-    return q.where(col("c_acctbal").gt(5000)).order_by("c_acctbal", "desc").order_by("c_nationkey").limit(100)
+    return numbered(q.where(col("c_acctbal").gt(5000)).order_by("c_acctbal", "desc").order_by("c_nationkey").frame())
 
 
 @query("SELECT c_nationkey, count(*) AS count FROM (SELECT c_nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY c_nationkey", "customer", "supplier")
@@ -336,6 +351,32 @@ def arith_div_mod(db):
     return db.select("p_partkey", ((size - 25) / 7, "q"), (size % 7, "r"), (col("p_retailprice") / (size - 10), "d")).from_("part")
 
 
+TOP, LEAST = 2147483647, -2147483648
+
+
+@query(f"SELECT p_partkey, CAST(least(p_size::BIGINT + {TOP}, {TOP}) AS INT) AS a, CAST(greatest({LEAST} + 20 - p_size::BIGINT, {LEAST}) AS INT) AS s, CAST(greatest(p_size::BIGINT * -{TOP}, {LEAST}) AS INT) AS m, CAST(least(p_partkey::HUGEINT * 4611686018427387904, 9223372036854775807) AS BIGINT) AS w, 2 ** 31 - 1 AS q FROM part", "part")
+def arith_overflow(db):
+    size = col("p_size")
+    least = size - size + TOP - TOP - TOP - 1  # the least integer, of a column's type
+    return db.select("p_partkey", (size + TOP, "a"), (lit(LEAST + 20) - size, "s"), (size * -TOP, "m"), (col("p_partkey") * 4611686018427387904, "w"), (least / -1 + 0.0, "q")).from_("part")
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_size > 25 THEN {TOP} ELSE {TOP} - p_size END AS a, {TOP} AS n FROM part", "part")
+def fn_abs_min(db):
+    size = col("p_size")
+    low = size * 0 - TOP
+    rows = db.table("part").select("p_partkey", "p_size", F.when(F.col("p_size") > 25, F.lit(LEAST)).otherwise(F.col("p_size") - TOP).alias("low"))
+    db.register_table(rows, "lows")
+    return db.select("p_partkey", (call("abs", col("low")), "a"), (-(low - 1), "n")).from_("lows")
+
+
+@query("SELECT l_returnflag, CAST(least(sum(4611686018427387904::HUGEINT), 9223372036854775807) AS BIGINT) AS sum_big, CAST(sum(l_orderkey) AS BIGINT) AS sum_l_orderkey FROM lineitem GROUP BY l_returnflag", "lineitem")
+def agg_sum_overflow(db):
+    rows = db.table("lineitem").select("l_returnflag", "l_orderkey", F.lit(4611686018427387904).alias("big"))
+    db.register_table(rows, "bigs")
+    return db.select("*").from_("bigs").group_by("l_returnflag").sum("big").sum("l_orderkey")
+
+
 # ---- JSON
 @query("SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS DOUBLE) = 7", "events")
 def json_path_eq_num(db):
@@ -353,13 +394,15 @@ def json_path_exists(db):
 
 
 #: A document with an array and nested members for every event.
-NESTED = """SELECT event_id, '{"items":[{"n":' || (event_id % 5) || ',"tag":"a' || (event_id % 3) || '"},{"n":' || (event_id % 7) || ',"tag":"b"}],"meta":{"n":' || (event_id % 11) || '},"list":[' || event_id % 2 || ',' || event_id % 3 || ',' || event_id % 4 || ']}' AS doc FROM events"""
+NESTED = """SELECT event_id, '{"items":[{"n":' || (event_id % 5) || ',"tag":"a' || (event_id % 3) || '"},{"n":' || (event_id % 7) || ',"tag":"b"}],"meta":{"n":' || (event_id % 11) || (CASE WHEN event_id % 2 = 0 THEN ',"even":null' ELSE '' END) || (CASE WHEN event_id % 3 = 0 THEN ',"third":[]' ELSE '' END) || '},"list":[' || event_id % 2 || ',' || event_id % 3 || ',' || event_id % 4 || '],"some":' || (CASE WHEN event_id % 4 > 1 THEN '[1,2,3]' ELSE '[1]' END) || '}' AS doc FROM events"""
 
 
 def nested(db):
     e = F.col("event_id")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    doc = text('{"items":[{"n":', e % 5, ',"tag":"a', e % 3, '"},{"n":', e % 7, ',"tag":"b"}],"meta":{"n":', e % 11, '},"list":[', e % 2, ",", e % 3, ",", e % 4, "]}")
+    even, third = F.when(e % 2 == 0, ',"even":null').otherwise(""), F.when(e % 3 == 0, ',"third":[]').otherwise("")
+    some = F.when(e % 4 > 1, "[1,2,3]").otherwise("[1]")
+    doc = text('{"items":[{"n":', e % 5, ',"tag":"a', e % 3, '"},{"n":', e % 7, ',"tag":"b"}],"meta":{"n":', e % 11, even, third, '},"list":[', e % 2, ",", e % 3, ",", e % 4, '],"some":', some, "}")
     db.register_table(db.table("events").select("event_id", doc.alias("doc")), "nested")
     return db
 
@@ -387,15 +430,19 @@ json_filter("json_recursive", col("doc").get("$..tag").eq("a1"), "event_id % 3 =
 json_filter("json_filter_path", col("doc").get("$.items[?(@.n > 5)]").exists(), "event_id % 7 = 6")
 json_filter("json_and_of_paths", col("doc").get("$.meta.n").eq(2) & col("doc").get("$.items[0].tag").contains("a0"), "event_id % 11 = 2 AND event_id % 3 = 0")
 json_value("json_query_all", lambda c: F.array_join(jsonpath.query(c, "$..n"), ","), "(event_id % 5) || ',' || (event_id % 7) || ',' || (event_id % 11)")
-json_value("jsonb_get_field", lambda c: jsonb.field(c, "meta"), "'{\"n\":' || (event_id % 11) || '}'")
+#: The member ``meta`` with its keys in order.
+META = """'{' || (CASE WHEN event_id % 2 = 0 THEN '"even":null,' ELSE '' END) || '"n":' || (event_id % 11) || (CASE WHEN event_id % 3 = 0 THEN ',"third":[]' ELSE '' END) || '}'"""
+json_value("jsonb_get_field", lambda c: jsonb.field(c, "meta"), META)
 json_value("jsonb_get_text", lambda c: jsonb.field_text(jsonb.field(c, "meta"), "n"), "CAST(event_id % 11 AS VARCHAR)")
 json_value("jsonb_get_path", lambda c: jsonb.at_path(c, "meta", "n"), "CAST(event_id % 11 AS VARCHAR)")
 json_value("jsonb_contains", lambda c: jsonb.contains(c, '{"items":[{"n":1}]}').cast("string"), "CAST(event_id % 5 = 1 OR event_id % 7 = 1 AS VARCHAR)")
-json_value("jsonb_contained_by", lambda c: jsonb.contained_by(jsonb.field(c, "meta"), '{"n":3,"m":1}').cast("string"), "CAST(event_id % 11 = 3 AS VARCHAR)")
-json_value("jsonb_has_key", lambda c: jsonb.has_key(c, "meta").cast("string"), "'true'")
-json_value("jsonb_has_any_all", lambda c: (jsonb.has_any(c, "no", "list") & ~jsonb.has_all(c, "no", "list")).cast("string"), "'true'")
-json_value("jsonb_concat", lambda c: jsonb.concat(jsonb.field(c, "meta"), '{"z":1}'), "'{\"n\":' || (event_id % 11) || ',\"z\":1}'")
-json_value("jsonb_delete_key", lambda c: jsonb.delete_keys(c, "items", "list"), "'{\"meta\":{\"n\":' || (event_id % 11) || '}}'")
+json_value("jsonb_contained_by", lambda c: jsonb.contained_by(jsonb.field(c, "meta"), '{"n":3,"m":1,"even":null}').cast("string"), "CAST(event_id % 11 = 3 AND event_id % 3 <> 0 AS VARCHAR)")
+json_value("jsonb_has_key", lambda c: F.concat_ws(",", jsonb.has_key(jsonb.field(c, "meta"), "even").cast("string"), jsonb.has_key(c, "meta").cast("string"), jsonb.has_key(jsonb.field(c, "some"), "2").cast("string")), "CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || ',true,' || CASE WHEN event_id % 4 > 1 THEN 'true' ELSE 'false' END")
+json_value("jsonb_has_any_all", lambda c: F.concat_ws(",", jsonb.has_any(jsonb.field(c, "meta"), "no", "even", "third").cast("string"), jsonb.has_all(jsonb.field(c, "meta"), "n", "even", "third").cast("string")), "CASE WHEN event_id % 2 = 0 OR event_id % 3 = 0 THEN 'true' ELSE 'false' END || ',' || CASE WHEN event_id % 6 = 0 THEN 'true' ELSE 'false' END")
+json_filter("json_contains_number", col("doc").get("$.meta.n").contains(7), "event_id % 11 = 7")
+json_filter("json_functions_by_name", call("JSONB_PATH_EQ", col("doc"), "$.items[0].tag", "a1") & call("jsonb_exists", col("doc"), "$.meta.even") & call("Jsonb_Contains", col("doc"), "$.items[1].tag", "b"), "event_id % 3 = 1 AND event_id % 2 = 0")
+json_value("jsonb_concat", lambda c: jsonb.concat(jsonb.field(c, "meta"), '{"z":1}'), f"replace({META}, '}}', ',\"z\":1}}')")
+json_value("jsonb_delete_key", lambda c: jsonb.delete_keys(c, "items", "list", "some"), f"'{{\"meta\":' || {META} || '}}'")
 json_value("jsonb_delete_index", lambda c: jsonb.delete_index(jsonb.field(c, "list"), 1), "'[' || event_id % 2 || ',' || event_id % 4 || ']'")
 
 
@@ -413,7 +460,7 @@ ACCOUNTS = "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM cu
 def mutated(name: str, sql: str, act):
     def f(db):
         act(accounts(db))
-        return db.select("*").from_("accounts")
+        return rounded(db.select("*").from_("accounts").frame(), balance=2)
 
     f.__name__ = name
     query(sql, "customer")(f)
@@ -439,6 +486,15 @@ def _rolled_back(db):
     tx.rollback()
 
 
+def _many_updates(db):
+    """Twenty updates of one column in one transaction."""
+    tx = db.transaction()
+    for i in range(20):
+        tx.update("accounts", {"balance": col("balance") + 1.0, "name": f"round {i}"}, col("id").gt(i * 50))
+    tx.commit()
+
+
+mutated("txn_many_updates", "SELECT c_custkey AS id, CASE WHEN c_custkey > 0 THEN 'round ' || least(19, (c_custkey - 1) // 50) ELSE c_name END AS name, round(c_acctbal + CASE WHEN c_custkey > 0 THEN least(20, (c_custkey - 1) // 50 + 1) ELSE 0 END, 2) AS balance FROM customer", _many_updates)
 mutated("txn_commit", f"SELECT id, name, CASE WHEN id = 2 THEN 0.0 ELSE balance END AS balance FROM ({ACCOUNTS}) WHERE id <> 3 UNION ALL SELECT 9000003, 'tx', 5.0", _committed)
 mutated("txn_rollback", ACCOUNTS, _rolled_back)
 
@@ -458,7 +514,7 @@ def maintained(name: str, sql: str, make, *tables: str):
         orders = db.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
         first = orders.where("o_orderkey % 2 = 0")
         db.register_table(first, "o")
-        view = make(db).trace()
+        view = make(db).trace().keep_current()
         change = zset.weighted(orders.where("o_orderkey % 2 = 1"))
         change = change.union(zset.weighted(orders.where("o_orderkey % 10 = 4"), -1))
         db.apply_delta("o", change)
@@ -479,6 +535,11 @@ maintained("ivm_full_join", "SELECT c_custkey, o_orderkey FROM o FULL JOIN custo
 maintained("ivm_group_count_distinct", "SELECT o_orderstatus, count(*) AS count, count(DISTINCT o_custkey) AS distinct_o_custkey FROM o GROUP BY o_orderstatus", lambda db: db.select("*").from_("o").group_by("o_orderstatus").count().distinct("o_custkey"))
 maintained("ivm_group_min_max_delete", "SELECT o_custkey, min(o_totalprice) AS min_o_totalprice, max(o_totalprice) AS max_o_totalprice FROM o GROUP BY o_custkey", lambda db: db.select("*").from_("o").group_by("o_custkey").min("o_totalprice").max("o_totalprice"))
 maintained("ivm_union_distinct", "SELECT o_custkey FROM o UNION SELECT c_custkey FROM customer", lambda db: db.select("o_custkey").from_("o").union(db.select("c_custkey").from_("customer")), "customer")
+maintained("ivm_right_join", "SELECT o_orderkey, c_custkey FROM o RIGHT JOIN customer ON o_custkey = c_custkey", lambda db: db.select("o_orderkey", "c_custkey").from_("o").right_join("customer", col("o_custkey").eq(col("c_custkey"))), "customer")
+maintained("ivm_multi_condition_left_join", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN o ON c_custkey = o_custkey AND o_totalprice > 200000", lambda db: db.select("c_custkey", "o_orderkey").from_("customer").left_join("o", col("c_custkey").eq(col("o_custkey")) & col("o_totalprice").gt(200000)), "customer")
+maintained("ivm_theta_full_join", "SELECT n_nationkey, o_orderkey FROM nation FULL JOIN o ON n_nationkey > o_custkey", lambda db: db.select("n_nationkey", "o_orderkey").from_("nation").full_join("o", col("n_nationkey").gt(col("o_custkey"))), "nation")
+maintained("ivm_cross", "SELECT o_orderkey, r_name FROM o, region", lambda db: db.select("o_orderkey", "r_name").from_("o").cross_join("region"), "region")
+maintained("ivm_global_count", "SELECT count(*) AS count, CAST(sum(o_custkey) AS BIGINT) AS sum_o_custkey, avg(o_custkey) AS avg_o_custkey FROM o", lambda db: db.select("*").from_("o").count().sum("o_custkey").avg("o_custkey"))
 maintained("ivm_filter_join", "SELECT o_orderkey, c_name FROM o JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 50000 AND c_acctbal > 0", lambda db: db.select("o_orderkey", "c_name").from_("o").inner_join("customer", col("o_custkey").eq(col("c_custkey"))).where(col("o_totalprice").gt(50000) & col("c_acctbal").gt(0)), "customer")
 
 
@@ -543,6 +604,33 @@ def gql_mutation(db):
     return db.select("c_custkey", "c_name").from_("customer")
 
 
+@query("SELECT c_custkey, c_name FROM customer UNION ALL VALUES (9000005::BIGINT, 'five'), (9000006::BIGINT, 'six')", "region", "nation", "customer")
+def gql_insert(db):
+    graph(db).graphql('mutation { insertCustomer(input: [{ c_custkey: 9000005, c_name: "five" }, { c_custkey: 9000006, c_name: "six" }]) { c_custkey } }')
+    return db.select("c_custkey", "c_name").from_("customer")
+
+
+@query("SELECT c_custkey, CASE WHEN place <= 3 THEN 'first' ELSE c_name END AS c_name FROM (SELECT *, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) WHERE place NOT IN (4, 5)", "region", "nation", "customer")
+def gql_paged_mutation(db):
+    order = "orderBy: [{ field: C_ACCTBAL, direction: DESC }]"
+    graph(db).graphql(f'mutation {{ updateCustomer({order}, limit: 3, set: {{ c_name: "first" }}) {{ c_custkey }} deleteCustomer({order}, offset: 3, limit: 2) {{ c_custkey }} }}')
+    return db.select("c_custkey", "c_name").from_("customer")
+
+
+@query(f"WITH nested AS ({NESTED}) SELECT event_id FROM nested WHERE event_id % 11 = 4 AND event_id % 3 = 2 AND event_id % 2 = 0", "events")
+def gql_json_filter(db):
+    rows = nested(db).table("nested")
+    db.register_table(rows, TableBuilder("facts").column("event_id", "Int64", primary_key=True).column("doc", "Jsonb", nullable=True).build())
+    where = '{ doc: { path: "$.meta.n", eq: 4 }, AND: [{ doc: { path: "$.items[0].tag", contains: "a2" } }, { doc: { path: "$.meta.even", exists: true } }] }'
+    return db.prepare_graphql(f"{{ facts(where: {where}) {{ event_id }} }}").frame()
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey < 300", "region", "nation", "customer")
+def gql_include_skip(db):
+    document = "query Q($yes: Boolean!, $no: Boolean = false) { customer(where: { c_custkey: { lt: 300 } }) { c_custkey c_name @include(if: $yes) c_acctbal @include(if: $no) c_mktsegment @skip(if: $yes) } }"
+    return graph(db).prepare_graphql(document).frame({"yes": True})
+
+
 def flagship(spark, sf_dir):
     """Order count and highest price by market segment."""
     return QUERIES["group_join_order_by_agg"](spark, sf_dir)

@@ -39,7 +39,13 @@ class LiveQuery:
     def __init__(self, registry: LiveRegistry, plan: nodes.Node):
         self.registry, self.plan = registry, plan
         self.callbacks: list[Callable] = []
-        self.stale = False
+        self.stale = self.current = False
+
+    def keep_current(self) -> LiveQuery:
+        """Follow every change, subscribers or not."""
+        self._fresh()
+        self.current = True
+        return self
 
     def subscribe(self, callback: Callable) -> Callable[[], None]:
         """Calls back on changes; returns the function that ends it."""
@@ -189,6 +195,8 @@ class DeltaQuery(LiveQuery):
             self.log.append(change)
             if len(self.log) >= MERGE_EVERY:
                 self.view, self.log = checkpointed(zset.consolidate(self._parts())), []
+        if not self.callbacks:
+            return
         added = _dicts(zset.rows(change.where("_d > 0")))
         removed = _dicts(zset.rows(change.where("_d < 0").withColumn("_d", -F.col("_d"))))
         if added or removed:
@@ -234,7 +242,7 @@ class LiveRegistry:
     def publish(self, before, after, changes) -> None:
         """Tell the queries of the changed tables; deltas go before snapshots."""
         touched = [q for q in self.queries if q.plan.tables & set(changes)]
-        wanted = [q for q in touched if q.callbacks and not q.stale]
+        wanted = [q for q in touched if (q.callbacks or q.current) and not q.stale]
         for q in touched:
             q.stale = q.stale or q not in wanted
         if not wanted:
