@@ -64,6 +64,36 @@ def test_repeated_rows(spark):
         assert count[r.doc_id] == (1 if r.size == 0 else r.copies + extra)
 
 
+def test_one_id_for_many_rows(spark):
+    """Null ids share one place for each size; what is left there is dealt out evenly."""
+    docs = spark.createDataFrame([(None, "a b c d e", "s")] * 40 + [(i, "x y z", "t") for i in range(30)], "doc_id long, text string, source string")
+    found = mixing.mixed(docs).collect()
+    taken = Counter()
+    for r in found:
+        taken[r.source] += r.taken
+    target = {r.source: r.target for r in found}
+    assert len(found) == 70 and all(-1 < target[s] - taken[s] < 40 for s in target)
+    again = sorted(tuple(r)[1:] for r in mixing.mixed(docs.repartition(3)).collect())
+    assert again == sorted(tuple(r)[1:] for r in found)
+
+
+def test_many_sources_are_joined(spark, monkeypatch):
+    docs = documents(spark, corpus())
+    expected = sorted(map(tuple, mixing.mixed(docs).collect()), key=repr)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mixed(docs).collect()), key=repr) == expected
+
+
+def test_columns_may_have_any_name(spark):
+    names = ["row", "source", "digest", "cut_digest", "times", "copies", "_id", "_size", "_times", "_source", "_words", "col"]
+    docs = documents(spark, corpus()[:20])
+    for n in names:
+        docs = docs if n == "source" else docs.withColumn(n, docs.doc_id * 3)
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    assert all(r[n] == 3 * r.doc_id for r in out.collect() for n in names if n != "source")
+
+
 def test_no_python_in_the_mix(spark):
     plan = mixing.repeated(documents(spark, ["a"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

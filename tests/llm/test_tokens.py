@@ -160,3 +160,21 @@ def test_token_counts(spark, reference):
         assert (r.n_before, r.n_tokens, r.text) == (len(reference.encode_ordinary(t)), len(reference.encode_ordinary(now)), now)
     assert now == "mail <email> or call <number>\nsame\n" or r.doc_id != len(texts) - 1
     assert tokencounts.token_trees(empty(spark), RANKS, P.PATTERN).count() == 0
+    found = {r.doc_id: tuple(r)[1:] for r in tokencounts.edited(trees, RANKS, P.PATTERN).select("doc_id", "n_before", "n_tokens", "n_edits", "n_encoded").collect()}
+    at_once = tokencounts.edited_counts(documents(spark, texts), RANKS, P.PATTERN, tokencounts.redactions).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in at_once} == found
+    assert tokencounts.edited_counts(empty(spark), RANKS, P.PATTERN, tokencounts.redactions).count() == 0
+
+
+def test_other_patterns_are_cut_from_the_start(reference):
+    """A pattern may look ahead without limit."""
+    assert P.PATTERN == tokencounts.KNOWN
+    pattern = r"\s*[\r\n]+|\s+|\S+"
+    coder, rng = tokencounts.Counter(RANKS, pattern), random.Random(6)
+    for _ in range(200):
+        text = "".join(rng.choice("a  \n") for _ in range(40))
+        tree = tokencounts.TokenTree.build(text, coder)
+        a = rng.randrange(41)
+        edits = [(a, min(40, a + rng.randrange(3)), rng.choice(["", "\n", " b"]))]
+        tree.apply(edits, coder)
+        assert tree.tokens == tokencounts.TokenTree.build(apply(text, edits), coder).tokens

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: ASCII whitespace separates words everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
+WORD_CHARACTER = r"[^\x20\x09-\x0D]"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def op1_mix_sources(spark, sf_dir):
 SQL["op1_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('7:' || CAST(doc_id AS VARCHAR)) AS digest
+         md5(concat_ws(':', '7', CAST(doc_id AS VARCHAR))) AS digest
   FROM documents),
 by_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (
@@ -41,12 +41,14 @@ targets AS (
   FROM levels, water),
 quotas AS (
   SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS copies FROM targets),
+places AS (
+  SELECT s.source, s.digest, s.size, count(*) AS n, any_value(q.source_size) AS source_size, any_value(q.target) AS target, any_value(q.copies) AS copies,
+         CAST(round(any_value(q.target) - any_value(q.copies) * any_value(q.source_size)) AS BIGINT) AS quota
+  FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source GROUP BY s.source, s.digest, s.size),
 ordered AS (
-  SELECT s.doc_id, s.size, q.source_size, q.target, q.copies,
-         CAST(round(q.target - q.copies * q.source_size) AS BIGINT) AS quota,
-         CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.digest, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target, copies * size + least(size, greatest(0, quota - start)) AS taken FROM ordered
+  SELECT *, CAST(coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY digest, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM places)
+SELECT s.doc_id, s.size, o.source_size, o.target, o.copies * s.size + least(s.size, greatest(0, (o.quota - o.start) // o.n)) AS taken
+FROM sized s JOIN ordered o ON s.source IS NOT DISTINCT FROM o.source AND s.digest = o.digest AND s.size = o.size
 """
 
 
@@ -155,8 +157,7 @@ def op8_token_counts(spark, sf_dir):
     import public_tokenizers
 
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    trees = tokencounts.token_trees(table(spark, sf_dir, "documents"), ranks, pattern)
-    found = tokencounts.edited(tokencounts.with_redactions(trees), ranks, pattern)
+    found = tokencounts.edited_counts(table(spark, sf_dir, "documents"), ranks, pattern, tokencounts.redactions)
     return found.select("doc_id", "n_before", "n_tokens", "n_edits", "n_encoded")
 
 

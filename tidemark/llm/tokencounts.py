@@ -12,7 +12,8 @@ change.
 Edits are (start, end, replacement) in characters of the text as it was, in ascending
 order and disjoint. Edge cases: null and empty texts have no pre-tokens; an edit beyond
 the end or out of order raises an error; no edits (null or empty) leave a tree as it is;
-repeated rows have trees of their own; an empty table gives an empty result.
+repeated rows have trees of their own; an empty table gives an empty result; a long text
+is one tree, whose arrays take some tens of bytes for each of its pre-tokens.
 """
 
 from __future__ import annotations
@@ -26,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from .common import require
+from .common import require, small_batches
 
 LEAF = 64
-#: No alternative of the pattern looks more than two characters past its end.
+#: The one pattern known here (a fixed value of its rank files). No alternative of it looks
+#: more than two characters past its end, so pre-tokens that end CONTEXT characters before
+#: an edit stay. Nothing is known of another pattern: its edits cut the text from its start.
+KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CONTEXT = 3
-MAX_CACHED = 200_000
+MAX_CACHED = 60_000
 
 
 class Counter:
@@ -43,6 +47,7 @@ class Counter:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
+        self.context = CONTEXT if pattern == KNOWN else None
         self.core = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.known: dict[str, int] = {}
 
@@ -129,11 +134,12 @@ class TokenTree:
             raise ValueError(f"edit {start}:{end} is outside the text")
         text = self.text[:start] + replacement + self.text[end:]
         shift = len(text) - len(self.text)
-        # From a pre-token's start at or before start - CONTEXT on, everything may change.
-        first_leaf, at = self.find(max(0, start - CONTEXT))
+        # From a pre-token's start at or before start - context on, everything may change.
+        safe = 0 if coder.context is None else start - coder.context
+        first_leaf, at = self.find(max(0, safe))
         lengths, counts = self.leaf(first_leaf)
         keep = 0
-        while keep < len(lengths) and at + lengths[keep] <= start - CONTEXT:
+        while keep < len(lengths) and at + lengths[keep] <= safe:
             at += lengths[keep]
             keep += 1
         head = (lengths[:keep], counts[:keep])
@@ -287,6 +293,31 @@ def redactions(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def edited_counts(docs: DataFrame, ranks: str, pattern: str, edits_of, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``edited`` counts when ``edits_of`` (a function of the text) gives the edits of
+    each tree of ``token_trees``: doc_id, n_before, n_tokens, n_edits, n_encoded. Trees are
+    built, edited and read one after the other in one step and are not stored."""
+    require(docs, id_col, text_col)
+    small_batches(docs.sparkSession)
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = slim.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        coder = counter(ranks, pattern)
+        for batch in batches:
+            numbers = []
+            for text in batch.column(1):
+                text = text.as_py() or ""
+                tree, edits = TokenTree.build(text, coder), edits_of(text)
+                before = tree.tokens
+                encoded = tree.apply(edits, coder)
+                numbers.append((before, tree.tokens, len(edits), encoded))
+            columns = [pa.array(c, pa.int64()) for c in zip(*numbers)] if numbers else [pa.array([], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_before", "n_tokens", "n_edits", "n_encoded"])
+
+    return slim.mapInArrow(run, f"doc_id {kind}, n_before long, n_tokens long, n_edits long, n_encoded long")
+
+
 def with_redactions(trees: DataFrame) -> DataFrame:
     """``trees`` with the edits of ``redactions`` for each text."""
     trees = trees.drop("edits")
