@@ -50,12 +50,14 @@ from pyspark.sql import functions as F
 from . import textcore as tc
 from .common import checkpointed, require, shuffle_width, small_batches
 
-ROW_BYTES = 4 << 20
+ROW_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
+#: Bytes of text whose segments are found at once, about.
+STEP_BYTES = 1 << 18
 #: Segments of one key that are sorted as they are; with more, they are cut into single strings.
 HEAVY = 1024
 #: Starts of a segment and of a part of a bucket that is sorted at once.
-RUN, SORT_STARTS = 1024, 1 << 16
+RUN, SORT_STARTS = 1024, 1 << 15
 ALONE, SHARED, CUT = 0, 1, 2
 
 
@@ -258,7 +260,7 @@ class Segments:
         first, count, key, residue, inner = [], [], [], [], []
         row = 0
         while row < len(lengths):
-            end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + tc.CHUNK_BYTES, "right")) - 1)
+            end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + STEP_BYTES, "right")) - 1)
             base = int(bounds[row])
             cut = bounds[row : end + 1] - base
             for x, found in zip((first, count, key, residue, inner), self._chunk(data[base : bounds[end]], cut)):
@@ -273,13 +275,11 @@ class Segments:
         if size < c.n:
             none = np.zeros(0, np.int64)
             return none, none, np.zeros(0, np.uint64), none, none.astype(bool)
-        prefix = tc.prefix_hash(data)
-        grams = np.arange(size - c.core + 1)
-        h = tc.segment_hash(prefix, grams, grams + c.core)
+        h = tc.run_hashes(data, c.core)
         # The least high half in each window of v strings, of equal ones the leftmost or the rightmost.
-        high, place = h & ~_PLACE, grams.astype(np.uint64)
-        left = (least(high | place, c.v) & _PLACE).astype(np.int64)
-        right = (_PLACE - (least(high | (_PLACE - place), c.v) & _PLACE)).astype(np.int64)
+        high, place = h & ~_PLACE, np.arange(len(h), dtype=np.uint64)
+        left = (least(high | place, c.v) & _PLACE).view(np.int64)
+        right = (_PLACE - (least(high | (_PLACE - place), c.v) & _PLACE)).view(np.int64)
         ends = np.repeat(bounds[1:], np.diff(bounds))[: len(left)]
         starts = np.flatnonzero(np.arange(c.n, len(left) + c.n) <= ends)
         if not len(starts):

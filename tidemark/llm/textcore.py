@@ -51,10 +51,11 @@ def _power_table(kind: str, n: int) -> np.ndarray:
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every bit depends on all bits."""
     h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0x7FB5D329728EA185)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
+    h *= np.uint64(0x7FB5D329728EA185)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x81DADEF4BC2DD44D)
+    h ^= h >> np.uint64(33)
+    return h
 
 
 def as_binary(column) -> pa.Array:
@@ -186,6 +187,12 @@ def labels(h: np.ndarray, *columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def run_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """``segment_hash`` of the n bytes from each place on."""
+    prefix, m = prefix_hash(data), len(data) - n + 1
+    return mix((prefix[n:] - prefix[:m]) * _power_table("down", m))
+
+
 def window_hash(codes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n consecutive codes (len(codes) - n + 1 of them)."""
     m = len(codes) - n + 1
