@@ -22,8 +22,8 @@ import numpy as np
 from . import textcore as tc
 
 #: Beyond these the caches shed what they have met only once.
-MAX_CACHED_WORDS = 150_000
-MAX_CACHED_PIECES = 60_000
+MAX_CACHED_WORDS = 80_000
+MAX_CACHED_PIECES = 30_000
 
 #: Below this code point a file's pattern is run as explicit classes; no letter there
 #: changes under NFC, and lower-casing is by character.
