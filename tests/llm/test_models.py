@@ -40,6 +40,26 @@ def test_toxicity_without_labels(spark):
     assert [r.toxicity for r in toxicity.scored(docs, model).collect()] == [0.5, 0.5]
 
 
+def test_samples_are_bounded(spark):
+    """max_rows holds for rows, repeated ids and repeated rows included."""
+    rows = [(i % 50, f"text {i}", "en") for i in range(300)] + [(1000, "same", "de")] * 200 + [(i, f"t {i}", "de") for i in range(2000, 2060)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample, totals = langid.learning_rows(docs, "doc_id", "text", "lang", 20, 5)
+    counts = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert all(n <= 20 for n in counts.values()) and counts["en"] > 10 and totals["de"] >= 30
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] * 2, "doc_id long, toxic int")
+    learned = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic", 10, 11).collect()
+    assert len(learned) == 10
+
+
+def test_not_toxic_keeps_columns(spark):
+    docs = documents(spark, ["a b c", "idiot"]).selectExpr("*", "doc_id * 2 as toxicity")
+    model = (np.arange(1 << toxicity.HASH_BITS), np.full(1 << toxicity.HASH_BITS, -1.0), 0.0)
+    kept = toxicity.not_toxic(docs, model)
+    assert kept.columns == docs.columns and [r.toxicity for r in kept.collect()] == [0, 2]
+    assert toxicity.not_toxic(docs, (model[0], -model[1], 0.5)).count() == 0
+
+
 def test_features_stay_in_their_document():
     import pyarrow as pa
 

@@ -22,11 +22,11 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import require, training_row
+from .common import require, small_batches, training_row
 
 GRAM = 4
 HASHES = 3
@@ -106,16 +106,32 @@ def pieces(column: pa.Array):
         yield first, end, column.slice(first, end - first).to_pylist()
 
 
-def trained(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", max_rows: int = 3000, seed: int = 5) -> Filters:
-    """Filters from text and language of a bounded sample of the rows that may be learned from."""
-    require(docs, id_col, text_col, lang_col)
+def learning_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int, seed: int) -> tuple[DataFrame, dict[str, int]]:
+    """(lang and text of the rows to learn from, number of all such rows by language): of
+    each language at most max_rows, those with the least seeded hashes of id and text."""
     known = docs.where(F.col(lang_col).isNotNull() & training_row(F.col(id_col)))
     totals = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).count().collect()}  # a row a language
+    place = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    sample = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), place.alias("place"))
+    if max(totals.values(), default=0) > max_rows:
+        # Places are random, so a little more than max_rows of a language are below its share of
+        # them; the place of the first row too many cuts off, repeated rows at it included.
+        share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, 2.0**63 * min(1.0, 1.25 * max_rows / n) - 2.0**62)])
+        sample = sample.where(F.col("place") / 2 <= share[F.col("lang")])
+        numbered = sample.select("lang", "place").withColumn("number", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
+        for r in numbered.where(F.col("number") == max_rows + 1).collect():  # at most a row a language
+            sample = sample.where((F.col("lang") != r.lang) | (F.col("place") < r.place))
+    return sample.select("lang", "text"), totals
+
+
+def trained(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", max_rows: int = 3000, seed: int = 5) -> Filters:
+    """Filters from text and language of the rows that may be learned from, at most
+    ``max_rows`` of each language."""
+    require(docs, id_col, text_col, lang_col)
+    small_batches(docs.sparkSession)
+    sample, totals = learning_rows(docs, id_col, text_col, lang_col, max_rows, seed)
     if not totals:
         return Filters([], [])
-    share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, max_rows / n))])
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), place.alias("place")).where(F.col("place") < share[F.col("lang")])
 
     def count(batches):
         for batch in batches:
@@ -127,12 +143,10 @@ def trained(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
                     own = at[langs[first + doc[at]] == lang]
                     values, n = np.unique(h[own], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
-                    rows = int(np.sum(langs[first:end] == lang))
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.int64()), pa.array([rows])], ["lang", "gram", "n"])
 
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     least = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, MIN_SHARE * min(n, max_rows))])
-    frequent = counted.where(F.col("gram").isNotNull() & (F.col("n") >= least[F.col("lang")])).select("lang", "gram").collect()  # MIN_SHARE bounds it
+    frequent = counted.where(F.col("n") >= least[F.col("lang")]).select("lang", "gram").collect()  # MIN_SHARE bounds it
     found: dict[str, list[int]] = {lang: [] for lang in sorted(totals, key=lambda k: (-totals[k], k))}
     for r in frequent:
         found[r.lang].append(r.gram)
@@ -144,6 +158,7 @@ def predicted(docs: DataFrame, filters: Filters, text_col: str = "text") -> Data
     from pyspark.sql.types import StructType
 
     require(docs, text_col)
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     at = docs.columns.index(text_col)

@@ -402,13 +402,17 @@ def one_of_each(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text
 
 
 def first_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, by the component_id that ``found`` has for each doc_id."""
+    """The rows of ``docs`` that stay, by the component_id that ``found`` has for each doc_id.
+    Input columns may have any names."""
     found = checkpointed(found)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, F.col(id_col) == F.col("kept_id")).drop("kept_id")
+    # The input's columns go into one struct, so that none can clash with a column made here.
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    out = held.join(kept, F.col("id") == F.col("kept_id"))
     if found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count():
-        first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.hash(*docs.columns))
-        out = out.withColumn("kept_row", F.row_number().over(first)).where("kept_row = 1").drop("kept_row")
+        first = Window.partitionBy("id").orderBy("text_hash", F.hash("row"))
+        out = out.withColumn("number", F.row_number().over(first)).where("number = 1")
+    out = out.select("row")
     if found.where("doc_id IS NULL").limit(1).count():
-        out = out.unionByName(docs.where(F.col(id_col).isNull()))
-    return out
+        out = out.union(held.where("id IS NULL").select("row"))
+    return out.select("row.*")

@@ -5,12 +5,12 @@ words two apart (one between them). FTRL-proximal keeps a learning rate for each
 coordinate, and its L1 term leaves few weights, which are broadcast: at most
 2 ** HASH_BITS of them, whatever the data.
 
-Labels are learned from a bounded sample: at most ``max_rows`` labelled rows, taken by
-a seeded hash of the id. Scores use the text alone.
+Labels are learned from a bounded sample: at most ``max_rows`` labelled ids, taken by a
+seeded hash of the id, with one document each. Scores use the text alone.
 
 Edge cases: null and empty texts have no features and score as the intercept; labels
 without a matching document or without a value teach nothing; several labels of an id
-count as toxic if one is; without any label every score is 0.5, and ``not_toxic`` keeps
+count as toxic if one is; of several documents of an id the one with the least text teaches; without any label every score is 0.5, and ``not_toxic`` keeps
 every row; repeated rows score alike.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import require, training_row
+from .common import require, small_batches, training_row
 
 HASH_BITS = 20
 THRESHOLD = 0.3
@@ -69,7 +69,7 @@ def labelled_sample(docs, labels, id_col, text_col, label_col, max_rows, seed):
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     known = known.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_id"))).orderBy("_order", "_id").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")  # max_rows bounds it
-    return rows.select("_order", "_text", "_label")
+    return rows.groupBy("_id", "_order", "_label").agg(F.min("_text").alias("_text")).select("_order", "_text", "_label")
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_rows: int = 6000, epochs: int = 4, min_rows: int = 4, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
@@ -111,36 +111,56 @@ def trained(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text"
     return np.frombuffer(bytes(fitted.features), np.int64), np.frombuffer(bytes(fitted.weights)), fitted.intercept
 
 
+def _scores(model, column: pa.Array) -> np.ndarray:
+    table, intercept = model
+    out = np.zeros(len(column))
+    for first, end, data, offsets in tc.chunks(column):
+        doc, feature = features(data, offsets)
+        hit = np.flatnonzero(table[feature])
+        key = np.unique(doc[hit] * _SIZE + feature[hit])
+        out[first:end] = np.bincount(key // _SIZE, table[key % _SIZE], end - first)
+    return 1 / (1 + np.exp(-np.clip(out + intercept, -30, 30)))
+
+
+def _unpacked(model) -> tuple[np.ndarray, float]:
+    kept, weights, intercept = model
+    table = np.zeros(_SIZE)
+    table[kept] = weights
+    return table, intercept
+
+
 def scored(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and toxicity, a double from 0 to 1 (replaced if there)."""
+    from pyspark.sql.types import StructType
+
     require(docs, text_col)
+    small_batches(docs.sparkSession)
     docs = docs.drop("toxicity")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches):
-        kept, weights, intercept = shared.value
-        table = np.zeros(_SIZE)
-        table[kept] = weights
+        own = _unpacked(shared.value)
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for first, end, data, offsets in tc.chunks(batch.column(at)):
-                doc, feature = features(data, offsets)
-                hit = np.flatnonzero(table[feature])
-                key = np.unique(doc[hit] * _SIZE + feature[hit])
-                out[first:end] = np.bincount(key // _SIZE, table[key % _SIZE], end - first)
-            out = 1 / (1 + np.exp(-np.clip(out + intercept, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "toxicity"])
-
-    from pyspark.sql.types import StructType
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_scores(own, batch.column(at)))], [*batch.schema.names, "toxicity"])
 
     return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("toxicity", "double"))
 
 
 def not_toxic(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below THRESHOLD; all of them if the model has
-    learned nothing (no weights and no intercept), as it cannot tell them apart."""
+    """The rows of ``docs``, as they are, that score below THRESHOLD; all of them if the model
+    has learned nothing (no weights and no intercept), as it cannot tell them apart."""
     kept, _, intercept = model
     if not len(kept) and not intercept:
         return docs
-    return scored(docs, model, text_col).where(F.col("toxicity") < THRESHOLD).select(*docs.columns)
+    require(docs, text_col)
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        own = _unpacked(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(own, batch.column(at)) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
