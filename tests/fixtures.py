@@ -1,4 +1,4 @@
-"""Small tables with NULLs, missing join partners and JSON nulls."""
+"""Small tables with NULLs, missing join partners, JSON nulls and text that is no JSON."""
 
 import json
 
@@ -21,51 +21,57 @@ def table(db, name, columns, rows, key="id", **more):
     return schema
 
 
-USERS = [
-    (1, "Alice", 25, True, 85.5, "Beijing"),
-    (2, "Bob", 30, False, 90.0, "Shanghai"),
-    (3, "Charlie", 25, True, 78.0, "Beijing"),
-    (4, "David", 35, True, 92.0, "Shanghai"),
-    (5, "Eve", 28, False, 88.5, "Guangzhou"),
-    (6, "Frank", 31, True, 82.0, "Shenzhen"),
-    (7, "Grace", 29, False, 80.0, None),
+#: id, name, years at sea, ashore, pay, port
+SAILORS = [
+    (1, "Ines", 12, False, 31.5, "Lisboa"),
+    (2, "Tomas", 4, True, 18.25, "Porto"),
+    (3, "Maren", 12, False, 27.0, "Lisboa"),
+    (4, "Oluf", 21, True, 44.0, "Bergen"),
+    (5, "Yuki", 9, False, 22.75, "Porto"),
+    (6, "Dario", 4, True, 18.25, None),
+    (7, "Sanna", 16, False, 35.0, "Bremen"),
+    (8, "Pell", 9, True, 20.5, "Bergen"),
 ]
 
 
-def people(spark):
+def crew(spark):
     db = Database(spark)
-    table(db, "users", [("id", "Int64"), ("name", "String"), ("age", "Int32"), ("active", "Boolean"), ("score", "Float64"), ("city", "String", None)], USERS)
+    table(db, "sailors", [("id", "Int64"), ("name", "String"), ("years", "Int32"), ("ashore", "Boolean"), ("pay", "Float64"), ("port", "String", None)], SAILORS)
     return db
 
 
-def shop(spark):
+def harbour(spark):
+    """Ship 3 makes no trip; trips 21, 24 and 25 owe no dues."""
     db = Database(spark)
-    table(db, "customers", [("id", "Int64"), ("name", "String")], [(1, "Alice"), (2, "Bob"), (3, "Cara")])
-    table(db, "orders", [("id", "Int64"), ("customer_id", "Int64"), ("amount", "Int64")], [(11, 1, 100), (12, 1, 50), (13, 2, 80)], foreign=[("fk", "customer_id", "customers", "id", "customer", "orders")])
-    table(db, "payments", [("id", "Int64"), ("order_id", "Int64"), ("method", "String"), ("settled", "Boolean")], [(101, 11, "card", True), (102, 13, "cash", False)])
+    table(db, "ships", [("id", "Int64"), ("name", "String")], [(1, "Alba"), (2, "Brisa"), (3, "Corvo"), (4, "Dorsal")])
+    table(db, "trips", [("id", "Int64"), ("ship_id", "Int64"), ("tons", "Int64")], [(21, 1, 40), (22, 1, 75), (23, 2, 60), (24, 4, 60), (25, 1, 5)], foreign=[("by_ship", "ship_id", "ships", "id", "ship", "trips")])
+    table(db, "dues", [("id", "Int64"), ("trip_id", "Int64"), ("kind", "String"), ("paid", "Boolean")], [(301, 22, "pilot", True), (302, 23, "berth", False), (303, 22, "berth", True)])
     return db
 
 
-def staff(spark):
+def ranks(spark):
     db = Database(spark)
-    table(db, "employees", [("id", "Int64"), ("name", "String"), ("manager_id", "Int64", None)], [(1, "CEO", None), (2, "Manager", 1), (3, "Engineer", 2)])
+    table(db, "ranks", [("id", "Int64"), ("name", "String"), ("above", "Int64", None)], [(1, "captain", None), (2, "mate", 1), (3, "cook", 1), (4, "boy", 2)])
     return db
 
 
-def metrics(spark):
+DEPTHS = [(1, "north", 3), (2, "north", 12), (3, "south", 6), (4, "south", 6), (5, "south", 3)]
+
+
+def gauges(spark):
     db = Database(spark)
-    table(db, "metrics", [("id", "Int64"), ("category", "String"), ("value", "Int64", None)], [(1, "A", 2), (2, "A", 8), (3, "B", 4), (4, "B", 4)])
+    table(db, "gauges", [("id", "Int64"), ("place", "String"), ("depth", "Int64", None)], DEPTHS)
     return db
 
 
-def library(spark):
+def charts(spark):
     db = Database(spark)
-    docs = [
-        (1, "Rust Book", {"tags": ["rust", "wasm"], "author": {"name": "Ada"}, "category": "tech"}),
-        (2, "JS Guide", {"tags": ["js"], "author": {"name": "Bea"}, "category": "ops"}),
-        (3, "Database Notes", {"tags": ["storage", "wasm"], "author": None, "category": "tech"}),
+    notes = [
+        (1, "Estuary", {"kinds": ["depth", "wrecks"], "drawn": {"by": "Noor"}, "scale": "fine"}),
+        (2, "Open sea", {"kinds": ["routes"], "drawn": {"by": "Iker"}, "scale": "coarse"}),
+        (3, "Old harbour", {"kinds": ["walls", "wrecks"], "drawn": None, "scale": "fine"}),
     ]
-    table(db, "documents", [("id", "Int64"), ("title", "String"), ("metadata", "Jsonb", None)], [(i, t, json.dumps(m)) for i, t, m in docs] + [(4, "Broken", "{"), (5, "None", None)])
+    table(db, "charts", [("id", "Int64"), ("title", "String"), ("notes", "Jsonb", None)], [(i, t, json.dumps(m)) for i, t, m in notes] + [(4, "Torn", "[1,"), (5, "Blank", None)])
     return db
 
 

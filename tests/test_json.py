@@ -5,42 +5,42 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import jsonb, jsonpath
 from tidemark.plans.expr import call, col
-from .fixtures import ids, library
+from .fixtures import charts, ids
 
 
 @pytest.fixture(scope="module")
 def db(spark):
-    return library(spark)
+    return charts(spark)
 
 
-META = col("metadata")
+NOTES = col("notes")
 
 
 @pytest.mark.parametrize(
     "test,expected",
     [
-        (META.get("$.category").eq("tech"), [1, 3]),
-        (~META.get("$.category").eq("tech"), [2, 4, 5]),
-        (META.get("$.author.name").eq("Ada"), [1]),
-        (META.get("$.author").eq(None), [3]),
-        (META.get("$.author").exists(), [1, 2, 3]),
-        (META.get("$.author.name").exists(), [1, 2]),
-        (META.get("$.tags[0]").eq("js"), [2]),
-        (META.get("$['category']").contains("ec"), [1, 3]),
-        (META.get("$.tags").contains("was"), [1, 3]),
-        (META.get("$.tags[*]").eq("rust"), [1]),
-        (META.get("$.tags[1:]").eq("wasm"), [1, 3]),
-        (META.get("$..name").eq("Bea"), [2]),
-        (META.get("$.nope").eq(None), []),
-        (META.get("$.tags[-1]").exists(), []),
-        (META.get("$.category").eq("tech") & META.get("$.author.name").exists(), [1]),
-        (call("JSONB_PATH_EQ", META, "$.category", "ops"), [2]),
-        (call("jsonb_exists", META, "$.author.name"), [1, 2]),
-        (call("jsonb_contains", META, "$.category", "op"), [2]),
+        (NOTES.get("$.scale").eq("fine"), [1, 3]),
+        (~NOTES.get("$.scale").eq("fine"), [2, 4, 5]),
+        (NOTES.get("$.drawn.by").eq("Noor"), [1]),
+        (NOTES.get("$.drawn").eq(None), [3]),
+        (NOTES.get("$.drawn").exists(), [1, 2, 3]),
+        (NOTES.get("$.drawn.by").exists(), [1, 2]),
+        (NOTES.get("$.kinds[0]").eq("routes"), [2]),
+        (NOTES.get("$['scale']").contains("in"), [1, 3]),
+        (NOTES.get("$.kinds").contains("wre"), [1, 3]),
+        (NOTES.get("$.kinds[*]").eq("walls"), [3]),
+        (NOTES.get("$.kinds[1:]").eq("wrecks"), [1, 3]),
+        (NOTES.get("$..by").eq("Iker"), [2]),
+        (NOTES.get("$.nope").eq(None), []),
+        (NOTES.get("$.kinds[-1]").exists(), []),
+        (NOTES.get("$.scale").eq("fine") & NOTES.get("$.drawn.by").exists(), [1]),
+        (call("JSONB_PATH_EQ", NOTES, "$.scale", "coarse"), [2]),
+        (call("jsonb_exists", NOTES, "$.drawn.by"), [1, 2]),
+        (call("jsonb_contains", NOTES, "$.scale", "oars"), [2]),
     ],
 )
 def test_paths(db, test, expected):
-    assert ids(db.select("id").from_("documents").where(test).exec()) == expected
+    assert ids(db.select("id").from_("charts").where(test).exec()) == expected
 
 
 @pytest.mark.parametrize("value,text,expected", [(1, '{"a":1}', True), (1, '{"a":1.0}', True), (1, '{"a":"1"}', False), ("1", '{"a":1}', False), (True, '{"a":true}', True), (True, '{"a":1}', False), (1, '{"a":[1]}', False), (2.5, '{"a":2.5}', True)])
