@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import decontaminate, huffman, langid, mixing, quality, sharding, simhash, suffixdedup, tokencounts, toxicity
-from .common import table, training_row
+from .common import checkpointed, delete_folder, table, training_row
 
 SQL: dict[str, str] = {}
 
@@ -200,9 +200,12 @@ def op10_token_file(spark, sf_dir):
     import public_tokenizers
 
     path = huffman.new_store_path(spark)
-    huffman.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), end_id=1)
-    found = huffman.read_store(spark, path)
-    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    try:
+        huffman.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), end_id=1)
+        found = huffman.read_store(spark, path)
+        return checkpointed(found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
+    finally:
+        delete_folder(spark, path)  # the query's own; a store that is to be kept is written by write_store
 
 
 def queries():
