@@ -148,3 +148,30 @@ def test_components(spark):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     assert found == {x: find(x) for x in root if find(x) != x}
+
+
+@pytest.mark.parametrize("kept", [2, 3, 4])
+def test_linked_fingerprints_agree_on_a_mask(kept):
+    rng = random.Random(kept)
+    masks = simhash.masks_of(4, kept)
+    assert all(bin(m).count("1") >= kept * (64 // (4 + kept)) for m in masks)
+    for _ in range(500):
+        x = rng.getrandbits(64)
+        y = x
+        for b in rng.sample(range(64), 4):
+            y ^= 1 << b
+        assert any((x ^ y) & m == 0 for m in masks)
+
+
+def test_masks_follow_the_number_of_fingerprints(spark, monkeypatch):
+    assert [simhash.kept_segments(n, 4) for n in (0, 10**6, 10**9, 10**11)] == [2, 2, 3, 4]
+    monkeypatch.setattr(simhash, "NODE_MEMBERS", -1)  # always the most segments
+    rng = random.Random(3)
+    fps = clusters(rng, 300, 5)
+    rows = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    found = {r.node % (1 << 64): r.root % (1 << 64) for r in components(simhash.links(rows)).collect()}
+    expected = classes(fps, fps)
+    groups = {}
+    for f, e in zip(fps, expected):
+        groups.setdefault(found.get(f, f), set()).add(e)
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(expected))

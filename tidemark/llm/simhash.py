@@ -6,7 +6,9 @@ it. Two fingerprints link at ``distance`` or fewer differing bits.
 The index has upper nodes that factor out masked bit patterns. The 64 bits are cut
 into ``distance + 2`` segments; two fingerprints that link agree on at least two whole
 segments, so each fingerprint hangs under one upper node for every pair of segments
-(mask) with the pattern it has there, and every link meets under some upper node.
+(mask) with the pattern it has there, and every link meets under some upper node. For
+very many fingerprints masks have more, shorter segments and longer patterns in all
+(``kept_segments``), so that nodes do not grow with the input.
 Below an upper node, fingerprints are sorted by Gray rank and cut into leaves; each
 inner node holds the bits all its members share. Pairs of nodes are compared from the
 top, the differences in shared bits add up on the way down, and a pair of groups goes
@@ -238,12 +240,26 @@ def forest(fps: np.ndarray, groups: np.ndarray, distance: int) -> tuple[np.ndarr
     return node, root[node]
 
 
-def masks_of(distance: int) -> list[int]:
-    """Masks of all pairs of the distance + 2 segments of 64 bits."""
-    parts = distance + 2
+def masks_of(distance: int, kept: int = 2) -> list[int]:
+    """Masks of all choices of ``kept`` from distance + kept segments of 64 bits: two
+    fingerprints that link agree on all bits of one of them."""
+    parts = distance + kept
     edge = [round(64 * i / parts) for i in range(parts + 1)]
     segment = [((1 << edge[i + 1]) - 1) ^ ((1 << edge[i]) - 1) for i in range(parts)]
-    return [x | y for x, y in combinations(segment, 2)]
+    return [sum(chosen) for chosen in combinations(segment, kept)]
+
+
+#: Members of an upper node to expect at most, and segments of a mask at most.
+NODE_MEMBERS, MOST_KEPT = 64, 4
+
+
+def kept_segments(n: int, distance: int) -> int:
+    """Segments of a mask for n fingerprints: the fewest whose patterns are long enough
+    that upper nodes stay small; more segments are more masks."""
+    kept = 2
+    while kept < MOST_KEPT and n >> (64 * kept // (distance + kept)) > NODE_MEMBERS:
+        kept += 1
+    return kept
 
 
 def _long(mask: int) -> int:
@@ -253,7 +269,7 @@ def _long(mask: int) -> int:
 def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """Edges (a, b) over distinct fingerprints (column fp) that connect all that link."""
     width = max(2, shuffle_width(fps.sparkSession))
-    masks = F.array(*[F.lit(_long(m)) for m in masks_of(distance)])
+    masks = F.array(*[F.lit(_long(m)) for m in masks_of(distance, kept_segments(fps.count(), distance))])
     rank = F.col("fp")
     for s in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
