@@ -120,11 +120,21 @@ class Database:
         return change.count
 
     def apply_delta(self, table: str, delta: DataFrame) -> None:
-        """Apply a Z-set of rows (the table's columns and ``_d``) from a change log."""
+        """Apply a Z-set of rows (the table's columns and ``_d``) from a change log.
+
+        With a primary key the table is only joined with the keys of removed rows; without
+        one its rows have to be counted."""
         from .streaming import zset
 
-        after = zset.rows(zset.consolidate(zset.weighted(self.table(table)).unionByName(delta)))
+        key, rows = self.schema(table).primary_key, self.table(table)
+        delta = checkpointed(zset.consolidate(delta))
         added, removed = zset.rows(delta.where("_d > 0")), zset.rows(delta.where("_d < 0").withColumn("_d", -F.col("_d")))
+        if key:
+            gone = removed.select(*[F.col(f"`{k}`").alias(f"key {i}") for i, k in enumerate(key)])
+            same = [F.col(f"`{k}`") == F.col(f"key {i}") for i, k in enumerate(key)]
+            after = rows.join(gone, same, "left_anti").unionByName(added)
+        else:
+            after = zset.rows(zset.consolidate(zset.weighted(rows).unionByName(delta)))
         self.swap({table: after}, {table: [dml.Change(after, added, removed, 0)]})
 
     def depth(self, table: str) -> int:

@@ -513,7 +513,8 @@ def maintained(name: str, sql: str, make, *tables: str):
     def f(db):
         orders = db.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
         first = orders.where("o_orderkey % 2 = 0")
-        db.register_table(first, "o")
+        schema = TableBuilder("o").column("o_orderkey", "Int64", primary_key=True).column("o_custkey", "Int64", nullable=True)
+        db.register_table(first, schema.column("o_orderstatus", "String", nullable=True).column("o_totalprice", "Float64", nullable=True).build())
         view = make(db).trace().keep_current()
         change = zset.weighted(orders.where("o_orderkey % 2 = 1"))
         change = change.union(zset.weighted(orders.where("o_orderkey % 10 = 4"), -1))

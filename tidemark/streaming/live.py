@@ -86,6 +86,13 @@ def is_row_local(plan: nodes.Node) -> bool:
     return isinstance(plan, nodes.Scan) or isinstance(plan, (nodes.Filter, nodes.Project)) and is_row_local(plan.input)
 
 
+def reads_once(plan) -> bool:
+    """Whether the delta rule of a plan looks at each delta once."""
+    if isinstance(plan, nodes.Join):
+        return plan.kind in ("inner", "cross") and not plan.left.tables & plan.right.tables and all(map(reads_once, plan.inputs))
+    return isinstance(plan, nodes.Scan) or isinstance(plan, (nodes.Filter, nodes.Project)) and reads_once(plan.input)
+
+
 def _summary(frame: DataFrame) -> tuple:
     """Count and hash of a result; sorted results with the same rows have the same order but for ties."""
     return tuple(frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in frame.columns]).cast("decimal(38,0)"))).first())
@@ -180,7 +187,8 @@ class DeltaQuery(LiveQuery):
         change = zset.delta(self.plan.input, before, after, deltas)
         if change is None:
             return None
-        made = checkpointed(self.linear.apply(change))
+        made = self.linear.apply(checkpointed(change))
+        made = checkpointed(made) if self.callbacks else made
         self.linear.state = checkpointed(self.linear.state)
         return made
 
@@ -188,10 +196,9 @@ class DeltaQuery(LiveQuery):
         change = self._change(before, after, deltas)
         if change is None:
             return
-        change = checkpointed(zset.consolidate(change)) if self.linear is None else change
-        if change.isEmpty():
-            return
         if self.linear is None:
+            # The delta is consolidated already; what filters it needs not be again.
+            change = checkpointed(change if isinstance(self.plan, nodes.Filter | nodes.Scan) else zset.consolidate(change))
             self.log.append(change)
             if len(self.log) >= MERGE_EVERY:
                 self.view, self.log = checkpointed(zset.consolidate(self._parts())), []
@@ -253,6 +260,7 @@ class LiveRegistry:
             z = parts[0]
             for p in parts[1:]:
                 z = z.unionByName(p)
-            deltas[table] = checkpointed(zset.consolidate(z))
+            z = zset.consolidate(z)
+            deltas[table] = z if len(wanted) == 1 and reads_once(wanted[0].plan) else checkpointed(z)
         for query in sorted(wanted, key=lambda q: isinstance(q, SnapshotQuery)):
             query.changed(before, after, deltas)
