@@ -134,6 +134,18 @@ def test_a_change_does_not_rewrite_the_view(spark, monkeypatch):
     assert view.view is not base and not view.log and ids(view.get_result()) == [21, 22, 23, 24, 25, 41]
 
 
+def test_changes_that_do_not_show_are_not_told(spark):
+    """An update of a column that is projected away moves nothing, below a filter too."""
+    db = harbour(spark)
+    both = db.select("ship_id").from_("trips").union_all(db.select("ship_id").from_("trips")).where(col("ship_id").lt(3)).trace()
+    told = []
+    both.subscribe(told.append)
+    db.update("trips").set({"tons": 1}).where(col("id").eq(21)).exec()
+    assert told == []
+    db.delete("trips").where(col("id").eq(21)).exec()
+    assert [len(t["removed"]) for t in told] == [2] and len(both) == 6
+
+
 def test_transactions_tell_once(spark):
     db = harbour(spark)
     view, told = db.select("*").from_("trips").trace(), []

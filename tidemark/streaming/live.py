@@ -86,7 +86,12 @@ def is_row_local(plan: nodes.Node) -> bool:
     return isinstance(plan, nodes.Scan) or isinstance(plan, (nodes.Filter, nodes.Project)) and is_row_local(plan.input)
 
 
-def reads_once(plan) -> bool:
+def keeps_rows(plan: nodes.Node) -> bool:
+    """Whether a plan gives rows of one table as they are; its delta is consolidated like the table's."""
+    return isinstance(plan, nodes.Scan) or isinstance(plan, nodes.Filter) and keeps_rows(plan.input)
+
+
+def reads_once(plan: nodes.Node) -> bool:
     """Whether the delta rule of a plan looks at each delta once."""
     if isinstance(plan, nodes.Join):
         return plan.kind in ("inner", "cross") and not plan.left.tables & plan.right.tables and all(map(reads_once, plan.inputs))
@@ -197,8 +202,7 @@ class DeltaQuery(LiveQuery):
         if change is None:
             return
         if self.linear is None:
-            # The delta is consolidated already; what filters it needs not be again.
-            change = checkpointed(change if isinstance(self.plan, nodes.Filter | nodes.Scan) else zset.consolidate(change))
+            change = checkpointed(change if keeps_rows(self.plan) else zset.consolidate(change))
             self.log.append(change)
             if len(self.log) >= MERGE_EVERY:
                 self.view, self.log = checkpointed(zset.consolidate(self._parts())), []
