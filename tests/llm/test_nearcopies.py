@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import nearcopies
+from tidemark.llm import nearcopies, simhash
 from .data import corpus, documents, empty
 
 
@@ -126,6 +126,44 @@ def test_close_pairs_of_many():
     assert np.array_equal(few == few[:, None], (full := nearcopies.spanning(600, x, y)) == full[:, None])
 
 
+def wide_clusters(seed, sizes, flips):
+    """Rows of four words: of each cluster a centre with so many bits flipped."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    fps = np.concatenate([np.repeat(rng.integers(0, 1 << 63, (1, 4), np.uint64), n, 0) for n in sizes])
+    for _ in range(flips):
+        fps[np.arange(len(fps)), rng.integers(0, 4, len(fps))] ^= np.uint64(1) << rng.integers(0, 64, len(fps)).astype(np.uint64)
+    return rng.permutation(fps)
+
+
+def test_gray_order_of_words():
+    fps = wide_clusters(0, [5] * 8 + [1] * 60, 3)
+    rank = [int("".join(f"{w:064b}" for w in row.tolist()), 2) for row in fps]
+    for s in (1, 2, 4, 8, 16, 32, 64, 128):
+        rank = [r ^ r >> s for r in rank]
+    order = simhash.gray_order(fps).tolist()
+    assert [rank[i] for i in order] == sorted(rank)
+
+
+@pytest.mark.parametrize("flips", [2, 28, 45])
+def test_candidates_come_from_the_gray_hierarchy(monkeypatch, flips):
+    """Candidates of an upper node are those of all pairs, and the tree leaves pairs out."""
+    fps, limit = wide_clusters(flips, [200, 90, 40, 17, 1, 1], flips), 64
+    differs = np.bitwise_count(fps[:, None] ^ fps).sum(axis=2)
+    full = nearcopies.spanning(len(fps), *np.nonzero(differs <= limit))
+    looked, whole = [], simhash._ones
+    monkeypatch.setattr(simhash, "_ones", lambda x, wide: looked.append(len(x)) or whole(x, wide))
+    a, b = nearcopies.close_forest(fps, np.zeros(len(fps), int), limit)
+    found = nearcopies.spanning(len(fps), a, b)
+    assert np.array_equal(found == found[:, None], full == full[:, None])
+    assert looked and (flips > 40 or sum(looked) < len(fps) * (len(fps) - 1) // 2)  # loose clusters share few bits
+    for cut in (1, 16, 100, 340):  # two blocks: pairs of one with the other
+        a, b = nearcopies.close_pairs(fps, limit, cut)
+        assert (differs[a, b] <= limit).all()
+        found = nearcopies.spanning(len(fps), a, b)
+        x, y = np.nonzero(differs[:cut, cut:] <= limit)
+        assert (found[x] == found[cut + y]).all()
+
+
 def test_edges(spark):
     assert nearcopies.one_of_each(empty(spark)).count() == 0
     docs = documents(spark, ["same text here now", "", None, " \n"])

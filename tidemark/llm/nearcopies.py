@@ -6,6 +6,9 @@ shingles of either. A group is what links connect.
 Candidates come from a family of fingerprints of the distinct shingles. Two texts meet
 where one fingerprint agrees on two of its ``distance + 2`` segments (the upper nodes of
 ``simhash``), and are candidates if at most a quarter of all bits of the family differ.
+Below an upper node they are found by the Gray-order hierarchy of ``simhash``, over all
+words of the family: differences in shared bits add up from the top, and pairs of nodes
+above the limit, or inside one component already, are left out.
 Unrelated texts differ in half of them. A pair without a common neighbour is missed if
 no fingerprint of the family agrees on two segments.
 
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, require, shuffle_width
 from .components import components, local_forest, spanning
-from .simhash import BLOCK, LEAF, _long, family_of, first_rows, masks_of, shingle_hashes, union_of
+from .simhash import BLOCK, LEAF, GrayIndex, _long, family_of, first_rows, gray_order, linked, masks_of, rank_of, shingle_hashes, union_of
 
 #: Texts link at 4 / 5 of their shingles in common.
 SHARE = (4, 5)
@@ -39,6 +42,8 @@ SHARE = (4, 5)
 TASK_SHINGLES, TASK_MEMBERS = 1 << 17, 192
 #: Members of a large group, about, that all its parts hold.
 TIES = 16
+#: Pairs of leaves compared at once, times the words of a fingerprint.
+PAIRS = 1 << 13
 
 
 def shingle_sets(column: pa.Array, shingle: int, seed: int):
@@ -101,26 +106,26 @@ def close_forest(fps: np.ndarray, groups: np.ndarray, limit: int) -> tuple[np.nd
     return node, root[node]
 
 
-def close_pairs(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect all rows that differ in at most ``limit`` bits."""
-    n = len(fps)
-    if n <= 256:
-        differs = sum(np.bitwise_count(f[:, None] ^ f).astype(np.int16) for f in fps.T)
-        return np.nonzero(np.triu(differs <= limit, 1))
-    a, b, todo, rest = [], [], [], np.arange(n)
-    while len(rest):
-        if not todo:
-            todo, rest = [int(rest[0])], rest[1:]
-        i = todo.pop()
-        near = np.bitwise_count(fps[rest] ^ fps[i]).sum(axis=1) <= limit
-        if near.any():
-            found = rest[near]
-            a.append(np.full(len(found), i))
-            b.append(found)
-            todo += found.tolist()
-            rest = rest[~near]
+def close_pairs(fps: np.ndarray, limit: int, cut: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect all rows that differ in at most ``limit`` bits, found by the Gray-order
+    hierarchy; with a ``cut``, all that the pairs of a row before it with one from it on connect.
+
+    Neighbours in the order are compared first, so that what they connect is not searched again."""
+    sides = [part[gray_order(fps[part])] for part in (np.arange(cut), np.arange(cut, len(fps))) if len(part)]
+    order = np.concatenate(sides)
+    a, b = [], []
+    for side in sides:
+        f, at = fps[side], int(side.min())
+        for k in range(1, min(LEAF, len(f))):
+            near = np.flatnonzero(np.bitwise_count(f[k:] ^ f[:-k]).sum(axis=1) <= limit)
+            a.append(at + near)
+            b.append(at + near + k)
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+    a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
+    root = spanning(len(fps), a, b)
+    left, right = (GrayIndex(fps[side]) for side in (sides[0], sides[-1]))
+    x, y = linked(left, right, limit, len(sides) == 1, PAIRS // fps.shape[1], root)
+    return order[np.concatenate([a, x])], order[np.concatenate([b, y + (cut if len(sides) == 2 else 0)])]
 
 
 def set_forest(head: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,11 +159,11 @@ def candidates(distinct: DataFrame, distance: int, family: int, k: int) -> DataF
     """Edges (a, b) between nodes that connect all candidates that meet by fingerprint k."""
     width = max(2, shuffle_width(distinct.sparkSession))
     limit = 64 * family // 4
-    names = [f"fp{i}" for i in range(family)]
+    names = [f"fp{(k + i) % family}" for i in range(family)]  # the one they meet by leads the Gray order
     masks = F.array(*[F.lit(_long(m)) for m in masks_of(distance)])
     rows = distinct.select("node", *names, F.posexplode(masks).alias("mask", "bits"))
     rows = rows.select("mask", F.col(f"fp{k}").bitwiseAND(F.col("bits")).alias("pattern"), "node", *names)
-    rows = rows.repartition(width, "mask", "pattern").sortWithinPartitions("mask", "pattern")
+    rows = rows.repartition(width, "mask", "pattern").sortWithinPartitions("mask", "pattern", rank_of(f"fp{k}"))
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
     def batch_of(rows):
@@ -214,8 +219,9 @@ def block_candidates(blocks: DataFrame, family: int, limit: int, width: int) ->
     def run(batches):
         for batch in batches:
             for sides in batch.column(0).to_pylist():
-                nodes = np.concatenate([np.frombuffer(s, np.int64).reshape(-1, family + 1) for s in sides])
-                x, y = close_pairs(np.ascontiguousarray(nodes[:, 1:]).view(np.uint64), limit)
+                sides = [np.frombuffer(s, np.int64).reshape(-1, family + 1) for s in sides]
+                nodes = np.concatenate(sides)
+                x, y = close_pairs(np.ascontiguousarray(nodes[:, 1:]).view(np.uint64), limit, len(sides[0]) if len(sides) == 2 else 0)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[x, 0]), pa.array(nodes[y, 0])], ["a", "b"])
 
     return checkpointed(pairs.select("sides").repartition(width).mapInArrow(run, "a long, b long"))

@@ -129,25 +129,48 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return r
 
 
+def gray_order(fps: np.ndarray) -> np.ndarray:
+    """Order by Gray rank of the rows of ``fps``, the words of a row being one number."""
+    ranks, odd = [], np.zeros(len(fps), bool)
+    for word in fps.T:
+        rank = gray_rank(word)
+        ranks.append(np.where(odd, ~rank, rank))
+        odd ^= (np.bitwise_count(word) & 1).astype(bool)
+    return np.lexsort(ranks[::-1])
+
+
+def _ones(x: np.ndarray, wide: bool) -> np.ndarray:
+    """Bits set in each fingerprint; a wide one has several words."""
+    n = np.bitwise_count(x)
+    return n.sum(axis=-1, dtype=np.int64) if wide else n
+
+
 class GrayIndex:
-    """Hierarchy over fingerprints sorted by Gray rank; ``levels[0]`` are the leaves."""
+    """Hierarchy over fingerprints sorted by Gray rank; ``levels[0]`` are the leaves.
+    A fingerprint is one word, or a row of several."""
 
     def __init__(self, sorted_fps: np.ndarray):
         self.fps = sorted_fps
         self.levels = []
         cut = np.arange(0, len(sorted_fps), LEAF)
-        low, high = np.bitwise_and.reduceat(sorted_fps, cut), np.bitwise_or.reduceat(sorted_fps, cut)
+        low, high = np.bitwise_and.reduceat(sorted_fps, cut, axis=0), np.bitwise_or.reduceat(sorted_fps, cut, axis=0)
         while True:
             self.levels.append((~(low ^ high), low))
             if len(low) == 1:
                 return
             cut = np.arange(0, len(low), FANOUT)
-            low, high = np.bitwise_and.reduceat(low, cut), np.bitwise_or.reduceat(high, cut)
+            low, high = np.bitwise_and.reduceat(low, cut, axis=0), np.bitwise_or.reduceat(high, cut, axis=0)
 
     def leaf_range(self, level: int, node: int) -> tuple[int, int]:
         width = LEAF * FANOUT**level
         return node * width, min(len(self.fps), (node + 1) * width)
 
+    def single(self, level: int, root: np.ndarray) -> np.ndarray:
+        """The component of each node of a level whose members are all in one, else -1."""
+        cut = np.arange(0, len(root), LEAF * FANOUT**level)
+        low = np.minimum.reduceat(root, cut)
+        return np.where(low == np.maximum.reduceat(root, cut), low, -1)
+
 
 def _children(nodes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     grown = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
@@ -155,14 +178,16 @@ def _children(nodes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return grown[grown < limit], parent[grown < limit]
 
 
-def linked(left: GrayIndex, right: GrayIndex, distance: int, same: bool, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+def linked(left: GrayIndex, right: GrayIndex, distance: int, same: bool, step: int = 1 << 14, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges (position in left, position in right) that connect everything the links connect.
 
-    ``same``: both are one index, and pairs are taken once."""
+    ``same``: both are one index, and pairs are taken once. ``root``: components known before,
+    of left's positions and, if they are two, right's after them; pairs inside one are left out."""
     found_a, found_b = [], []
     top = max(len(left.levels), len(right.levels)) - 1
+    wide, shift = left.fps.ndim > 1, 0 if same else len(left.fps)
     lift = lambda index, k: index.levels[min(k, len(index.levels) - 1)]  # noqa: E731  a lower tree waits at its root
-    start = (np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint64))
+    start = (np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros((1, *left.fps.shape[1:]), np.uint64))
     todo = [(top, *start)]
     while todo:
         k, a, b, differs, seen = todo.pop()
@@ -172,12 +197,17 @@ def linked(left: GrayIndex, right: GrayIndex, distance: int, same: bool, step: i
             continue
         (mask_a, bits_a), (mask_b, bits_b) = lift(left, k), lift(right, k)
         shared = mask_a[a] & mask_b[b]
-        differs = differs + np.bitwise_count((bits_a[a] ^ bits_b[b]) & shared & ~seen)
+        differs = differs + _ones((bits_a[a] ^ bits_b[b]) & shared & ~seen, wide)
         stay = differs <= distance
+        if root is not None:
+            of_a = left.single(min(k, len(left.levels) - 1), root[: len(left.fps)])[a]
+            of_b = right.single(min(k, len(right.levels) - 1), root[shift:])[b]
+            stay &= (of_a != of_b) | (of_a < 0)
         a, b, differs, shared = a[stay], b[stay], differs[stay], shared[stay]
         if not len(a):
             continue
-        close = differs + np.bitwise_count(~shared) <= distance
+        close = differs + _ones(~shared, wide) <= distance
+        first = len(found_a)
         for x, y in zip(a[close].tolist(), b[close].tolist()):
             (p, q), (r, s) = left.leaf_range(min(k, len(left.levels) - 1), x), right.leaf_range(min(k, len(right.levels) - 1), y)
             found_a += [np.full(s - r, p), np.arange(p, q)]
@@ -191,9 +221,15 @@ def linked(left: GrayIndex, right: GrayIndex, distance: int, same: bool, step: i
             if same:
                 valid &= i < j
             i, j = i[valid], j[valid]
-            near = np.bitwise_count(left.fps[i] ^ right.fps[j]) <= distance
+            near = _ones(left.fps[i] ^ right.fps[j], wide) <= distance
             found_a.append(i[near])
             found_b.append(j[near])
+        if root is not None and len(found_a) > first:
+            x, y = np.concatenate(found_a[first:]), np.concatenate(found_b[first:])
+            apart = root[x] != root[y + shift]
+            found_a[first:], found_b[first:] = [x[apart]], [y[apart]]
+            root = spanning(len(root), x[apart], y[apart] + shift, root)
+        if k == 0:
             continue
         grow_a, grow_b = k < len(left.levels), k < len(right.levels)
         if grow_a:
@@ -266,15 +302,19 @@ def _long(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def rank_of(name: str):
+    """Gray rank of a column of fingerprints, as a long that sorts as the rank does."""
+    rank = F.col(name)
+    for s in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
+    return rank.bitwiseXOR(F.lit(-(1 << 63)))
+
+
 def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """Edges (a, b) over distinct fingerprints (column fp) that connect all that link."""
     width = max(2, shuffle_width(fps.sparkSession))
     masks = F.array(*[F.lit(_long(m)) for m in masks_of(distance, kept_segments(fps.count(), distance))])
-    rank = F.col("fp")
-    for s in (1, 2, 4, 8, 16, 32):
-        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
-    unsigned = rank.bitwiseXOR(F.lit(-(1 << 63)))
-    rows = fps.select("fp", unsigned.alias("rank"), F.posexplode(masks).alias("mask", "bits"))
+    rows = fps.select("fp", rank_of("fp").alias("rank"), F.posexplode(masks).alias("mask", "bits"))
     rows = rows.select("mask", F.col("fp").bitwiseAND(F.col("bits")).alias("pattern"), "rank", "fp")
     rows = rows.repartition(width, "mask", "pattern").sortWithinPartitions("mask", "pattern", "rank").select("mask", "pattern", "fp")
 
