@@ -52,6 +52,33 @@ def test_words_of_one_hash(monkeypatch):
         assert coder.encode(data, np.array([0, len(data)]))[0].tolist() == full.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_of_new_words_are_kept():
+    """75,000 pieces, each in three words that differ, go to the library once."""
+    coder, full, cut = tokens.WordEncoder(FILE), tokenizers.Tokenizer.from_file(FILE), []
+
+    class Model:
+        tokenize = staticmethod(lambda piece, known=coder.model.tokenize: cut.append(piece) or known(piece))
+
+    coder.model = Model
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pieces = ["".join(letters[i // 26**k % 26] for k in range(4)) for i in range(75_000)]
+    for digit in "123":
+        for i in range(0, len(pieces), 25_000):
+            text = " ".join(p + digit for p in pieces[i : i + 25_000])
+            ids, _ = coder.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+            if digit == "3":
+                assert ids.tolist() == full.encode(text, add_special_tokens=False).ids
+    assert len(cut) == len(set(cut)) == 75_003
+
+
+def test_words_that_change_in_lower_case_or_hold_special_tokens(monkeypatch):
+    monkeypatch.setattr(tokens, "STEP_WORDS", 3)
+    coder, full = tokens.WordEncoder(FILE), tokenizers.Tokenizer.from_file(FILE)
+    text = "x <| a<|endoftext|>b < | İ ΑΣ Ⱥ \u0240x \u024f Ÿ K ǅ \xa0 \x85 a\xa0b \x1c\x1d ñO's 'LL'd 12½3 ÀÉ.. x"
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert coder.encode(data, np.array([0, len(data)]))[0].tolist() == full.encode(text, add_special_tokens=False).ids
+
+
 def test_another_file_takes_whole_texts(tmp_path):
     """A tokenizer whose steps are not known may join text across white space."""
     other = tokenizers.Tokenizer(tokenizers.models.BPE({"a": 0, " ": 1, "a ": 2, "a a": 3}, [("a", " "), ("a ", "a")]))

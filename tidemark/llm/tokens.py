@@ -15,6 +15,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -23,11 +24,15 @@ from . import textcore as tc
 
 #: Beyond these the caches shed what they have met only once.
 MAX_CACHED_WORDS = 80_000
-MAX_CACHED_PIECES = 30_000
+MAX_CACHED_PIECES = 200_000
+#: Words cut at once.
+STEP_WORDS = 30_000
 
 #: Below this code point a file's pattern is run as explicit classes; no letter there
 #: changes under NFC, and lower-casing is by character.
 PLAIN = 0x250
+#: First byte in UTF-8 of the last characters that are all below it.
+LAST_LEAD = 0xC8
 #: The one pattern known here; a fixed value of the file's format.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -92,11 +97,14 @@ class WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             self.pattern = self._plain_pattern(json.load(f))
-        self.symbols = str.maketrans({chr(b): c for b, c in byte_symbols().items()})
-        # Tuples of integers leave the garbage collector's sight. Pieces met since the dictionary
-        # was last full are in the first one; what is in neither has to be cut again.
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        symbols = byte_symbols()
+        self.symbols = str.maketrans({c: "".join(symbols[b] for b in c.encode()) for c in map(chr, range(PLAIN))})
+        # Ids of pieces, as bytes: a quarter of what tuples of integers take. Pieces met since the
+        # dictionary was last full are in the first one; what is in neither has to be cut again.
+        self.kind = "H" if max(self.tokenizer.get_vocab().values(), default=0) < 0xFFFF else "I"
+        self.line = array(self.kind, [(1 << 8 * array(self.kind).itemsize) - 1]).tobytes()  # no id: the end of a word
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.clear()
 
     @staticmethod
@@ -113,33 +121,31 @@ class WordEncoder:
         plain = [chr(c) for c in range(PLAIN)]
         letters, numbers = ("".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == kind) for kind in "LN")
         spaces = "".join(re.escape(c) for c in plain if c.isspace() and not "\x1c" <= c <= "\x1f")
-        return re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{letters}{numbers}{spaces}]+")
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece)
-        if ids is not None:
-            self.pieces[piece] = ids
-            return ids
-        symbols = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.symbols)
-        ids = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(symbols)])
-        return ids
-
-    def _ids_of(self, words: list[bytes]) -> list:
-        """Ids of each of the words, which hold no ASCII white space."""
-        known, out = self.pieces.get, []
-        for i, low in enumerate(b"\n".join(words).decode().lower().split("\n")):
-            ids = known(low)  # a piece that stands alone is cut as itself
+        return re.compile(f"\n|'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{letters}{numbers}{spaces}]+")
+
+    @staticmethod
+    def _lowered(words: tc.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, ends): the words at these places in lower case, each with a line feed at its end."""
+        start, n = words.starts[at], words.ends[at] - words.starts[at] + 1
+        upto = np.cumsum(n)
+        data = words.data[np.minimum(np.repeat(start - (upto - n), n) + np.arange(int(upto[-1])), len(words.data) - 1)]
+        data[upto - 1] = 10
+        low = np.frombuffer(data.tobytes().decode().lower().encode(), np.uint8)
+        return low, np.flatnonzero(low == 10)
+
+    def _ids_of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words of lower-cased lines in one array, number of ids of each)."""
+        pieces, known, tokenize = self.pattern.findall(text), self.pieces, self.model.tokenize
+        known["\n"] = self.line
+        for piece in set(pieces).difference(known):
+            ids = self.older.get(piece)
             if ids is None:
-                if not (low.isascii() or ord(max(low)) < PLAIN) or "<|" in low:
-                    ids = self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids
-                elif low.isalpha():
-                    ids = self._piece(low)
-                else:
-                    ids = ()
-                    for piece in self.pattern.findall(low):
-                        ids += known(piece) or self._piece(piece)
-            out.append(ids)
-        return out
+                symbols = piece if piece.isascii() and piece.isprintable() else piece.translate(self.symbols)
+                ids = array(self.kind, [t.id for t in tokenize(symbols)]).tobytes()
+            known[piece] = ids
+        flat = np.frombuffer(b"".join(map(known.__getitem__, pieces)), self.kind)
+        end = flat == np.frombuffer(self.line, self.kind)
+        return flat[~end], np.diff(np.flatnonzero(end), prepend=-1) - 1
 
     def clear(self):
         self.places = HashTable()
@@ -178,13 +184,22 @@ class WordEncoder:
     def _learn(self, words: tc.Words, at: np.ndarray, hashes, a, b) -> None:
         """Encode the words at these places, whose hashes are distinct and unknown."""
         raw = memoryview(words.data)
-        for i in range(0, len(at), MAX_CACHED_PIECES):
+        for i in range(0, len(at), STEP_WORDS):
             if len(self.pieces) > MAX_CACHED_PIECES:
                 self.older, self.pieces = self.pieces, {}
-            part = at[i : i + MAX_CACHED_PIECES]
-            found = self._ids_of([bytes(raw[s:e]) for s, e in zip(words.starts[part].tolist(), words.ends[part].tolist())])
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            self._put(hashes[part], a[part], b[part], np.fromiter(chain.from_iterable(found), np.int32, int(n.sum())), n)
+            part = at[i : i + STEP_WORDS]
+            low, ends = self._lowered(words, part)
+            size = np.diff(ends, prepend=-1)
+            whole = np.maximum.reduceat(low, ends - size + 1) > LAST_LEAD
+            whole[np.searchsorted(ends, np.flatnonzero((low[:-1] == ord("<")) & (low[1:] == ord("|"))))] = True
+            plain, rest = part[~whole], part[whole]
+            if len(rest):
+                found = [self.tokenizer.encode(bytes(raw[s:e]).decode(), add_special_tokens=False).ids for s, e in zip(words.starts[rest].tolist(), words.ends[rest].tolist())]
+                n = np.fromiter(map(len, found), np.int64, len(found))
+                self._put(hashes[rest], a[rest], b[rest], np.fromiter(chain.from_iterable(found), np.int32, int(n.sum())), n)
+                low = low[np.repeat(~whole, size)]
+            if len(plain):
+                self._put(hashes[plain], a[plain], b[plain], *self._ids_of(low.tobytes().decode()))
 
     def _places(self, words: tc.Words) -> np.ndarray:
         """The place of every word in the cache, put there where it was not."""
